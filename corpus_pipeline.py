@@ -1,29 +1,69 @@
-"""From raw documents to packed training sequences: rules, exact and near dedup, mixing, packing."""
+"""From raw documents to packed training sequences.
+
+STAGES are run in order, each on all that the one before kept; their results are
+written as Parquet and read again between them. Rules and both dedups only drop
+rows; mixing repeats rows; packing tells where each row's words go.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftspark.llm import bloom_dedup, crf, mixing, packing, queries
+from driftspark.llm import bloom_dedup, crf, jaccard, mixing, packing
 from driftspark.llm.common import checkpoint_dir, col, fresh, load
 
+#: Tempering of the sources' and languages' shares of words. Mild, as no document is to be lost.
+SOURCE_POWER, LANG_POWER = 0.9, 0.95
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least half is content by the line labels (operator 5)."""
+    """Operator 5: documents of which at least half the bytes are in lines labelled content."""
     return crf.kept(docs, crf.train(docs, load(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text (operator 7)."""
+    """Operator 7: one document of each text, the one with the smallest id."""
     return bloom_dedup.exact_dedup(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of similar ones, the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: each document as often as its source's and language's target shares ask for, at least once."""
+    targets = {"source": mixing.temper(docs, "source", SOURCE_POWER), "lang": mixing.temper(docs, "lang", LANG_POWER)}
+    copies, each = fresh(docs, "copies", "each")
+    mixed = mixing.mix_to_targets(docs, targets, keep_all=True, copies=copies)
+    repeated = mixed.withColumn(each, F.explode(F.array_repeat(F.lit(0), col(copies).cast("int"))))
+    return repeated.select(*[col(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the place of each document's words in sequences of 2048."""
+    return packing.best_fit_pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: The field's training and the Newton iterations are beyond SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; results in between are kept in the cluster's shared folder."""
+    from uuid import uuid4
+
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

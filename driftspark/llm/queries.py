@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_dedup, boosted, chat, crf, mixing, packing, ppm, wavelet
+from . import bloom_dedup, boosted, chat, crf, jaccard, mixing, packing, ppm, suffix_dedup, wavelet
 from .common import load
 
 #: Tempering of the shares of words: sources towards equal parts, languages a little.
@@ -21,6 +21,10 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(load(spark, sf_dir, "documents"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(load(spark, sf_dir, "conversations"))
 
@@ -39,6 +43,10 @@ def op7_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op8_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(load(spark, sf_dir, "documents"))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(load(spark, sf_dir, "documents"))
 
@@ -51,10 +59,26 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_best_fit_pack, op4_chat_format, op5_crf_rules, op6_ppm_score, op7_bloom_dedup, op9_wavelet_shards, op10_boosted_quality)
+    for f in (op1_mix_sources, op2_best_fit_pack, op3_suffix_repeats, op4_chat_format, op5_crf_rules, op6_ppm_score, op7_bloom_dedup, op8_rtree_join, op9_wavelet_shards, op10_boosted_quality)
 }
 
 ORACLES = {
+    "op3_suffix_repeats": """
+        WITH w AS (
+            SELECT DISTINCT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20]+') AS w
+            FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+        ), p AS (
+            SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)
+        ), f AS (
+            SELECT doc_id, pos, count(*) OVER (PARTITION BY g) AS n, first_value(doc_id) OVER o AS first_doc, row_number() OVER o > 1 AS remove
+            FROM p WINDOW o AS (PARTITION BY g ORDER BY doc_id, pos)
+        ), s AS (
+            SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id, first_doc, remove ORDER BY pos) > 50, true)::INT AS new FROM f WHERE n > 1
+        ), i AS (
+            SELECT *, sum(new) OVER (PARTITION BY doc_id, first_doc, remove ORDER BY pos) AS island FROM s
+        )
+        SELECT doc_id, min(pos) AS start, max(pos) + 50 AS stop, max(pos) + 50 - min(pos) AS n_words, first_doc, remove
+        FROM i GROUP BY doc_id, first_doc, remove, island""",
     "op4_chat_format": """
         WITH m AS (
             SELECT conv_id, coalesce(role, 'user') AS r, coalesce(text, '') AS c,
@@ -73,4 +97,21 @@ ORACLES = {
         SELECT doc_id, text, lang, source, n_chars FROM (
             SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS k FROM documents
         ) WHERE k = 1 OR text IS NULL""",
+    "op8_rtree_join": """
+        WITH w AS (
+            SELECT DISTINCT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20]+') AS w
+            FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+        ), g AS (
+            SELECT doc_id, text, unnest(list_distinct(
+                CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
+                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+            FROM w
+        ), n AS (SELECT doc_id, text, count(*) AS n FROM g GROUP BY ALL),
+        c AS (
+            SELECT a.doc_id AS x, a.text AS tx, b.doc_id AS y, b.text AS ty, count(*) AS c
+            FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        )
+        SELECT x AS doc_a, y AS doc_b, max(c / (p.n + q.n - c)::DOUBLE) AS jaccard
+        FROM c JOIN n p ON p.doc_id = x AND p.text = tx JOIN n q ON q.doc_id = y AND q.text = ty
+        WHERE c / (p.n + q.n - c)::DOUBLE >= 0.5 GROUP BY x, y""",
 }

@@ -10,8 +10,9 @@ import numpy as np
 
 #: Tuples that a queue or a pass holds in memory at once.
 CHUNK = 1 << 16
+NONE = int(np.iinfo(np.int32).max) - 1
 #: Texts up to this length are sorted in memory.
-SMALL = 1 << 15
+SMALL = 1 << 18
 
 
 class Spool:
@@ -30,7 +31,7 @@ class Spool:
 
     def read(self) -> np.ndarray:
         self.file.close()
-        return np.memmap(self.path, self.kind, "r", shape=(self.n,)) if self.n else np.zeros(0, self.kind)
+        return np.asarray(np.memmap(self.path, self.kind, "r", shape=(self.n,))) if self.n else np.zeros(0, self.kind)
 
     def drop(self) -> None:
         self.file.close()
@@ -113,28 +114,15 @@ class Inducer:
         self.text, self.queue = text, queue
         self.pending = np.full(keys, -1, np.int32)
 
-    def feed(self, suffix: np.ndarray, lcp: np.ndarray | None, c: int, down: bool, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Takes suffixes of bucket c; returns those that come back to it. down: symbols up to c are wanted, else from c."""
+    def feed(self, suffix: np.ndarray, lcp: np.ndarray | None, c: int, down: bool) -> None:
+        """Takes suffixes of bucket c, in order; delivers predecessors with symbols below c (down) or above."""
         before = suffix - 1
-        symbol = self.text[np.maximum(before, 0)].astype(np.int64)
-        ok = ((symbol < c) if down else (symbol > c)) & (before >= 0)
-        if same:
-            ok |= (symbol == c) & (before >= 0)
-        at = np.flatnonzero(ok)
-        s, q = symbol[at], before[at]
-        if lcp is None:
-            new = np.zeros(len(at), np.int32)
-        else:
-            new = self._prefixes(lcp, at, s)
-        if same:
-            back = s == c
-            out = q[back], new[back]
-            s, q, new = s[~back], q[~back], new[~back]
-        else:
-            out = q[:0], new[:0]
+        symbol = self.text[before]  # -1 is the sentinel, which is delivered to nobody
+        at = ((symbol < c) & (before >= 0) if down else symbol > c).nonzero()[0]
+        s = symbol[at].astype(np.int64)
+        new = np.zeros(len(at), np.int32) if lcp is None else self._prefixes(lcp, at, s)
         if len(s):
-            self.queue.push(s, q, new)
-        return out
+            self.queue.push(s, before[at], new)
 
     def _prefixes(self, lcp: np.ndarray, at: np.ndarray, s: np.ndarray) -> np.ndarray:
         if not len(lcp):
@@ -172,6 +160,52 @@ class Inducer:
         return new + 1
 
 
+def returning(text: np.ndarray, suffix: np.ndarray, lcp: np.ndarray | None, c: int, gap: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Predecessors of bucket c's suffixes that are in c too, their common prefixes, and the least one passed since the last."""
+    before = suffix - 1
+    at = ((text[before] == c) & (before >= 0)).nonzero()[0]
+    if lcp is None:
+        return before[at], np.zeros(len(at), np.int32), gap
+    if not len(at):
+        return before[at], lcp[:0], min(gap, int(lcp.min())) if len(lcp) else gap
+    last = int(at[-1])
+    new = np.minimum.reduceat(lcp[: last + 1], np.concatenate([[0], at[:-1] + 1])) + 1
+    new[0] = min(int(new[0]), gap + 1)
+    return before[at], new, int(lcp[last + 1 :].min()) if last + 1 < len(lcp) else NONE
+
+
+def bucket(text: np.ndarray, pieces, common: bool, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes of a bucket in order: the popped ones, then round by round their predecessors in the same bucket."""
+    todo, fresh, gap = list(pieces), True, NONE
+    while todo:
+        again, out = [], []
+        small = sum(len(x[0]) for x in todo) <= CHUNK
+        for suffix, lcp in todo:
+            if not len(suffix):
+                continue
+            if fresh:
+                lcp = lcp.copy()
+                lcp[0], fresh = 0, False
+            q, new, gap = returning(text, suffix, lcp if common else None, c, gap)
+            if len(q):
+                again.append((q, new))
+            if small:
+                out.append((suffix, lcp))
+            else:
+                yield suffix, lcp
+        if out:
+            while again and sum(len(x[0]) for x in out) <= CHUNK:
+                more = []
+                for suffix, lcp in again:
+                    q, new, gap = returning(text, suffix, lcp if common else None, c, gap)
+                    if len(q):
+                        more.append((q, new))
+                out += again
+                again = more
+            yield (out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out)))
+        todo = again
+
+
 def run_length(text: np.ndarray, p: int) -> int:
     """How often the symbol at p is repeated from there on."""
     c, n, step = text[p], 1, 16
@@ -212,69 +246,60 @@ def induce(text: np.ndarray, keys: int, seeds, folder: str, common: bool, wanted
     inducer = Inducer(text, queue, keys)
     l_suffix, l_lcp = Spool(folder, kind), Spool(folder, np.int32)
     starts = np.zeros(keys + 1, np.int64)
+
+    def feed(parts: list, c: int, down: bool) -> None:
+        if parts:
+            suffix, lcp = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts))
+            inducer.feed(suffix, lcp if common else None, c, down)
+            parts.clear()
+
     for c in range(keys):
         starts[c] = l_suffix.n
-        fresh, last = True, -1
-        todo: list = [queue.pop(c)]
-        while todo:
-            again = []
-            for suffix, lcp in todo.pop():
-                if not len(suffix):
-                    continue
-                if fresh:
-                    lcp = lcp.copy()
-                    lcp[0], fresh = 0, False
-                l_suffix.add(suffix)
-                l_lcp.add(lcp)
-                last = int(suffix[-1])
-                back = inducer.feed(suffix, lcp if common else None, c, False, True)
-                if len(back[0]):
-                    again.append(back)
-            if again:
-                todo.append(again)
-        for suffix, lcp in seeds(c):
-            if common and len(suffix):
-                if last != -2:
-                    lcp = lcp.copy()
-                    lcp[0] = min(run_length(text, last), run_length(text, int(suffix[0]))) if last >= 0 else 0
-                    last = -2
-            inducer.feed(suffix, lcp if common else None, c, False, False)
+        last, held = -1, []
+        for suffix, lcp in bucket(text, queue.pop(c), common, c):
+            l_suffix.add(suffix)
+            l_lcp.add(lcp)
+            last = int(suffix[-1])
+            feed(held, c, False)
+            held.append((suffix, lcp))
+        for k, (suffix, lcp) in enumerate(seeds(c)):
+            if common and k == 0:
+                lcp = lcp.copy()
+                lcp[0] = min(run_length(text, last), run_length(text, int(suffix[0]))) if last >= 0 else 0
+            if k or sum(len(x[0]) for x in held) + len(suffix) > CHUNK:
+                feed(held, c, False)
+            held.append((suffix, lcp))
+        feed(held, c, False)
     starts[keys] = l_suffix.n
     queue.drop()
     l_s, l_p = l_suffix.read(), l_lcp.read()
     queue = BucketQueue(folder, keys, kind)
     inducer = Inducer(text, queue, keys)
     for c in reversed(range(keys)):
-        fresh, last = True, -1
-        todo = [queue.pop(c)]
-        if c == 0:  # the sentinel has no successor that could induce it
-            todo = [[(np.array([len(text) - 1], kind), np.zeros(1, np.int32))]]
-        while todo:
-            again = []
-            for suffix, lcp in todo.pop():
-                if not len(suffix):
-                    continue
-                if fresh:
-                    lcp = lcp.copy()
-                    lcp[0], fresh = 0, False
-                wanted(c, suffix, lcp, True)
-                last = int(suffix[-1])
-                back = inducer.feed(suffix, lcp if common else None, c, True, True)
-                if len(back[0]):
-                    again.append(back)
-            if again:
-                todo.append(again)
+        last, held = -1, []
+        # the sentinel has no successor that could induce it
+        pieces = queue.pop(c) if c else [(np.array([len(text) - 1], kind), np.zeros(1, np.int32))]
+        for suffix, lcp in bucket(text, pieces, common, c):
+            wanted(c, suffix, lcp, True)
+            last = int(suffix[-1])
+            feed(held, c, True)
+            held.append((suffix, lcp))
         for hi in range(starts[c + 1], starts[c], -CHUNK):
             lo = max(starts[c], hi - CHUNK)
-            suffix = np.asarray(l_s[lo:hi])[::-1]
-            after = np.asarray(l_p[lo + 1 : hi + 1])[::-1].copy() if common else None
+            suffix = l_s[lo:hi][::-1]
             if common:
+                after = l_p[lo + 1 : hi + 1][::-1].copy()
                 if len(after) < len(suffix):
                     after = np.concatenate([[0], after]).astype(np.int32)
                 if hi == starts[c + 1]:
                     after[0] = min(run_length(text, int(suffix[0])), run_length(text, last)) if last >= 0 else 0
-            wanted(c, suffix, after if common else np.zeros(len(suffix), np.int32), False)
-            inducer.feed(suffix, after, c, True, False)
+            else:
+                after = np.zeros(len(suffix), np.int32)
+            wanted(c, suffix, after, False)
+            if sum(len(x[0]) for x in held) + len(suffix) > CHUNK:
+                feed(held, c, True)
+            held.append((suffix, after))
+        feed(held, c, True)
     queue.drop()
     l_suffix.drop()
     l_lcp.drop()

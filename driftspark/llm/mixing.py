@@ -21,7 +21,7 @@ def temper(docs: DataFrame, column: str, power: float, min_share: float = 0.001,
     are at most 1/min_share levels whatever the data.
     """
     per = docs.groupBy(col(column).cast("string").alias("v")).agg(F.sum(tokens(col(text))).cast("double").alias("n"))
-    share = per.withColumn("p", F.col("n") / F.sum("n").over(_all()))
+    share = per.withColumn("p", F.try_divide("n", F.sum("n").over(_all())))
     level = F.when(F.col("v").isNotNull() & (F.col("p") >= min_share), F.col("v")).otherwise(F.lit(OTHER))
     rows = share.where("p > 0").groupBy(level.alias("v")).agg(F.sum("p").alias("p")).collect()
     raw = {r["v"]: r["p"] ** power for r in rows}

@@ -155,6 +155,8 @@ def mix_to_targets(
         least = cells.where(col(n_tokens) > 0).select(F.exp(log_rate).alias("r")).where("r > 0").agg(F.min("r")).first()[0]
         scale = 1 / least if least else 1.0
     rated = counted.withColumn(rate, F.exp(log_rate) * F.lit(scale) * F.lit(1 + 1e-12))
+    if keep_all:  # a combination of levels without any word has no part in the least rate
+        rated = rated.withColumn(rate, F.when(col(rate) > 0, F.greatest(col(rate), F.lit(1.0))).otherwise(col(rate)))
     u = (F.xxhash64(col(doc_id), col(text)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double")) / F.lit(float(1 << 53))
     rated = rated.withColumn(copies, (F.floor(col(rate)) + (u < col(rate) - F.floor(col(rate))).cast("long")).cast("long"))
-    return rated.drop(*level_names)
+    return rated.select(*[col(c) for c in (*docs.columns, rate, copies, n_tokens)])

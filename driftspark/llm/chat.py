@@ -132,11 +132,11 @@ class _Expr:
             out = ("filter", self.word(), out, self.arguments() if self.take("(") else [])
         return out
 
-    def arguments(self) -> list[tuple]:
+    def arguments(self, end: str = ")") -> list[tuple]:
         out = []
-        while not self.take(")"):
+        while not self.take(end):
             out.append(self.choice())
-            if not self.peek(")"):
+            if not self.peek(end):
                 self.need(",")
         return out
 
@@ -176,6 +176,8 @@ class _Expr:
             out = self.choice()
             self.need(")")
             return out
+        if value == "[":
+            return ("list", self.arguments("]"))
         raise TemplateError(f"unexpected {value!r}")
 
 
@@ -369,6 +371,9 @@ def expression(node: tuple) -> Callable[[dict], Any]:
     if kind == "name":
         name = node[1]
         return lambda env: env.get(name, MISSING)
+    if kind == "list":
+        items = [expression(x) for x in node[1]]
+        return lambda env: [x(env) for x in items]
     if kind == "get":
         a, b = expression(node[1]), expression(node[2])
         return lambda env: _get(a(env), b(env))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 from collections.abc import Callable, Iterator
@@ -139,10 +140,11 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["shard", "doc_id", "row", "lo", "words"])
 
 
-def passages(words: np.ndarray, size: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, least: int, folder: str) -> Iterator[tuple]:
-    """Repeated passages of at least `least` words among pieces (lying one after another in words).
+def passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, least: int, folder: str) -> Iterator[tuple]:
+    """Repeated passages of at least `least` words among pieces.
 
-    Yields doc, row, first_doc, remove, start, stop arrays: maximal runs of starts
+    words has the distinct pieces one after another, size their words; owner tells
+    which of them each piece (doc, row, at) is. Yields doc, row, first_doc, remove, start, stop arrays: maximal runs of starts
     whose windows of least words recur, with one first document.
     """
     names, ids = np.unique(words, return_inverse=True)
@@ -157,7 +159,8 @@ def passages(words: np.ndarray, size: np.ndarray, doc: np.ndarray, row: np.ndarr
     suffixes, shared = suffix_array(spool.read(), base + 2, folder)
     sa, lcp = suffixes.read(), shared.read()
     sep = (begin[:-1] + np.arange(len(size))) * 2  # where each piece begins
-    flagged: list[tuple[np.ndarray, np.ndarray]] = []
+    times = np.bincount(owner, minlength=len(size))
+    flagged: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     group, carry, prev = 0, 0, None
     for lo in range(0, len(sa), CHUNK):
         s, p = np.asarray(sa[lo : lo + CHUNK]).astype(np.int64), np.asarray(lcp[lo : lo + CHUNK])
@@ -173,7 +176,7 @@ def passages(words: np.ndarray, size: np.ndarray, doc: np.ndarray, row: np.ndarr
         to_prev = np.concatenate([[carry], to_next[:-1]])
         number = group + np.cumsum(to_prev < 2 * least)
         group, carry = int(number[-1]), int(to_next[-1])
-        flagged.append((number, s[keep]))
+        flagged.append((number, s[keep], times[piece[keep]] > 1))
         # groups of one are dropped as soon as the next group begins
         if len(flagged) >= 8:
             flagged = [_repeats(flagged, group)]
@@ -181,12 +184,16 @@ def passages(words: np.ndarray, size: np.ndarray, doc: np.ndarray, row: np.ndarr
         f.drop()
     if not flagged:
         return
-    number, s = _repeats(flagged, None)
+    number, s, _ = _repeats(flagged, None)
     if not len(s):
         return
-    piece = np.searchsorted(sep, s, "right") - 1
-    start = (s - sep[piece]) // 2 + at[piece]
-    d, r = doc[piece], row[piece]
+    # back from distinct pieces to all
+    unique = np.searchsorted(sep, s, "right") - 1
+    by_owner, n = np.argsort(owner, kind="stable"), times[unique]
+    first = np.concatenate([[0], np.cumsum(times)])[unique]
+    piece = by_owner[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    start = np.repeat((s - sep[unique]) // 2, n) + at[piece]
+    number, d, r = np.repeat(number, n), doc[piece], row[piece]
     order = np.lexsort((start, r, d, number))
     number, d, r, start = number[order], d[order], r[order], start[order]
     # a place may lie in two pieces of a row
@@ -208,14 +215,14 @@ def passages(words: np.ndarray, size: np.ndarray, doc: np.ndarray, row: np.ndarr
     yield d[lo], r[lo], first_doc[lo], remove[lo], start[lo], start[hi] + least
 
 
-def _repeats(flagged: list, last: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Members of groups of two or more; the group `last` may still grow."""
-    number, s = (np.concatenate(x) for x in zip(*flagged))
+def _repeats(flagged: list, last: int | None) -> list[np.ndarray]:
+    """Members of groups of two or more, or of pieces that have copies; the group `last` may still grow."""
+    number, s, copied = (np.concatenate(x) for x in zip(*flagged))
     same = number[1:] == number[:-1]
-    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | copied
     if last is not None:
         keep |= number == last
-    return number[keep], s[keep]
+    return [number[keep], s[keep], copied[keep]]
 
 
 def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -230,9 +237,9 @@ def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
             held: dict = {}
 
             def finish() -> Iterator[pa.RecordBatch]:
-                size, doc, row, at = (np.concatenate(held[k]) for k in ("size", "doc", "row", "at"))
+                doc, row, at = (np.concatenate(held[k]) for k in ("doc", "row", "at"))
                 words = held["words"].read()
-                for cols in passages(words, size, doc, row, at, least, own):
+                for cols in passages(words, np.array(held["size"], np.int64), np.array(held["owner"], np.int64), doc, row, at, least, own):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
                 del words
                 held["words"].drop()
@@ -246,12 +253,17 @@ def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     if held and held["shard"] != shard[lo]:
                         yield from finish()
                     if not held:
-                        held.update(shard=shard[lo], words=Spool(own, np.uint32), size=[], doc=[], row=[], at=[])
+                        held.update(shard=shard[lo], words=Spool(own, np.uint32), known={}, size=[], owner=[], doc=[], row=[], at=[])
                     part = batch.slice(int(lo), int(hi - lo))
                     blobs = part.column(4)
                     for b in blobs:
-                        held["words"].add(np.frombuffer(b.as_buffer(), np.uint32))
-                    held["size"].append(np.asarray(pa.compute.binary_length(blobs)).astype(np.int64) // 4)
+                        raw = b.as_buffer()
+                        key = hashlib.blake2b(raw, digest_size=16).digest()
+                        if key not in held["known"]:
+                            held["known"][key] = len(held["size"])
+                            held["size"].append(raw.size // 4)
+                            held["words"].add(np.frombuffer(raw, np.uint32))
+                        held["owner"].append(held["known"][key])
                     for k, c in (("doc", 1), ("row", 2), ("at", 3)):
                         held[k].append(np.asarray(part.column(c)))
             if held:
@@ -303,7 +315,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 <<
     hold the same one: so text whose anchors occur nowhere else is left aside
     without loss. The stretches around repeated anchors go to shards such that all
     occurrences of an anchor meet, anchors of one stretch together if possible. A
-    shard's words become a text in files of the shared folder, and its suffix array
+    shard's distinct stretches become a text in files of the shared folder, and its suffix array
     with common prefixes is built there by external induced sorting (suffix.py),
     so a shard may be much larger than memory. Neighbouring suffixes that share
     `least` words are a repeat. Shards have about shard_words words; an anchor's

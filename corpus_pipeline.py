@@ -33,9 +33,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: each document as often as its source's and language's target shares ask for, at least once."""
-    targets = {"source": mixing.temper(docs, "source", SOURCE_POWER), "lang": mixing.temper(docs, "lang", LANG_POWER)}
+    counts = mixing.word_counts(docs, ["source", "lang"])
+    targets = {"source": mixing.temper(counts, "source", SOURCE_POWER), "lang": mixing.temper(counts, "lang", LANG_POWER)}
     copies, each = fresh(docs, "copies", "each")
-    mixed = mixing.mix_to_targets(docs, targets, keep_all=True, copies=copies)
+    mixed = mixing.mix_to_targets(docs, targets, keep_all=True, counts=counts, copies=copies)
     repeated = mixed.withColumn(each, F.explode(F.array_repeat(F.lit(0), col(copies).cast("int"))))
     return repeated.select(*[col(c) for c in docs.columns])
 

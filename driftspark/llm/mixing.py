@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +14,20 @@ from .common import col, cut, fresh, tokens
 OTHER = "\x00other"
 
 
-def temper(docs: DataFrame, column: str, power: float, min_share: float = 0.001, text: str = "text") -> dict[str, float]:
-    """Target shares proportional to each value's own share of words to a power.
+def word_counts(docs: DataFrame, columns: Sequence[str], text: str = "text") -> DataFrame:
+    """Words by each combination of the columns' values, as strings: one pass over the texts for all targets."""
+    keys = [col(c).cast("string").alias(c) for c in columns]
+    (n,) = fresh(docs, "n_words")
+    return cut(docs.groupBy(*keys).agg(F.sum(tokens(col(text))).cast("double").alias(n)))
+
+
+def temper(counts: DataFrame, column: str, power: float, min_share: float = 0.001) -> dict[str, float]:
+    """Target shares proportional to each value's own share of words to a power, from word_counts().
 
     Values below min_share of all words (and null) are one pooled level, so there
     are at most 1/min_share levels whatever the data.
     """
-    per = docs.groupBy(col(column).cast("string").alias("v")).agg(F.sum(tokens(col(text))).cast("double").alias("n"))
+    per = counts.groupBy(col(column).alias("v")).agg(F.sum(col(counts.columns[-1])).alias("n"))
     share = per.withColumn("p", F.try_divide("n", F.sum("n").over(_all())))
     level = F.when(F.col("v").isNotNull() & (F.col("p") >= min_share), F.col("v")).otherwise(F.lit(OTHER))
     rows = share.where("p > 0").groupBy(level.alias("v")).agg(F.sum("p").alias("p")).collect()
@@ -84,6 +91,7 @@ def mix_to_targets(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]],
     keep_all: bool = False,
+    counts: DataFrame | None = None,
     text: str = "text",
     doc_id: str = "doc_id",
     rate: str = "rate",
@@ -103,6 +111,8 @@ def mix_to_targets(
     copies is the rate rounded up or down by a hash of id and text, so that the
     expected number of copies is the rate.
 
+    counts is word_counts() of the same documents and columns, if it is there already.
+
     Null and empty texts count no words and get their levels' rate. Targets that
     exclude one another end at the nearest mix after 100 iterations. Rows with
     equal id and text get the same number. Extra columns stay; if one has the
@@ -121,7 +131,10 @@ def mix_to_targets(
     counted = docs.withColumn(n_tokens, tokens(col(text)))
     for name, lv in zip(columns, level_names):
         counted = counted.withColumn(lv, level(name))
-    cells = cut(counted.groupBy(*level_names).agg(F.sum(col(n_tokens)).cast("double").alias(n_tokens)))
+    known = word_counts(docs, columns, text) if counts is None else counts
+    for name, lv in zip(columns, level_names):
+        known = known.withColumn(lv, level(name))
+    cells = cut(known.groupBy(*level_names).agg(F.sum(col(known.columns[len(columns)])).alias(n_tokens)))
     marks, shares, zero = [], [], []
     for name, lv in zip(columns, level_names):
         seen = {r[0] for r in cells.where(col(n_tokens) > 0).groupBy(lv).agg(F.lit(1)).collect()}

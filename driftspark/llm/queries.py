@@ -13,8 +13,9 @@ SOURCE_POWER, LANG_POWER = 0.7, 0.9
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    targets = {"source": mixing.temper(docs, "source", SOURCE_POWER), "lang": mixing.temper(docs, "lang", LANG_POWER)}
-    return mixing.mix_to_targets(docs, targets).drop("text")
+    counts = mixing.word_counts(docs, ["source", "lang"])
+    targets = {"source": mixing.temper(counts, "source", SOURCE_POWER), "lang": mixing.temper(counts, "lang", LANG_POWER)}
+    return mixing.mix_to_targets(docs, targets, counts=counts).drop("text")
 
 
 def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def test_mixing_meets_all_targets_like_iterative_fitting(spark, sf):
 
 
 def test_mixing_edge_cases(messy, empty):
-    targets = {"source": mixing.temper(messy, "source", 0.7), "lang": {"en": 0.5, "xx": 0.2}}
+    targets = {"source": mixing.temper(mixing.word_counts(messy, ["source"]), "source", 0.7), "lang": {"en": 0.5, "xx": 0.2}}
     got = mixing.mix_to_targets(messy, targets, keep_all=True)
     assert got.columns == [*messy.columns, "_rate", "copies", "n_tokens"]
     rows = got.collect()
@@ -150,9 +150,9 @@ def test_mixing_edge_cases(messy, empty):
     twins = [r for r in rows if r.doc_id == 2]
     assert len({r.copies for r in twins}) == 1
     assert mixing.mix_to_targets(empty, targets).count() == 0
-    assert mixing.temper(empty, "source", 0.5) == {}
+    assert mixing.temper(mixing.word_counts(empty, ["source"]), "source", 0.5) == {}
     blank = messy.where(F.col("text").isNull() | (F.length(F.trim("text")) == 0))
-    assert mixing.mix_to_targets(blank, {"source": mixing.temper(blank, "source", 0.5)}).count() == blank.count()
+    assert mixing.mix_to_targets(blank, {"source": mixing.temper(mixing.word_counts(blank, ["source"]), "source", 0.5)}).count() == blank.count()
 
 
 def test_a_share_of_zero_leaves_out(spark, sf):

@@ -15,7 +15,7 @@ def contains_join(texts: DataFrame, parts: DataFrame, text: str = "text", part:
     """
     pool = parts.where(F.col(part).isNotNull() & (F.col(part) != ""))
     hit = F.contains(F.col(text), F.col(part))
-    if len(pool.limit(broadcast_rows + 1).collect()) <= broadcast_rows:
+    if pool.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return texts.join(F.broadcast(pool), hit)
     long = pool.where(F.length(part) >= key_chars).withColumn("_key", F.substring(part, 1, key_chars))
     places = F.sequence(F.lit(1), F.length(text) - key_chars + 1)

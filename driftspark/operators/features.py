@@ -33,10 +33,6 @@ def anchors(rows: DataFrame, vector: Column, n: int, order: Column) -> list[list
     return [list(r["_v"]) for r in picked]
 
 
-def literal(points: list[list[float]]) -> DataFrame | Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in points])
-
-
 def anchor_table(rows: DataFrame, vector: Column, n: int, order: Column) -> DataFrame:
     """One row with all anchors, for a broadcast; as anchors(), but without passing the driver."""
     picked = rows.where("label = 0").select(order.alias("_o"), vector.alias("_v")).orderBy("_o").limit(n)

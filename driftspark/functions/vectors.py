@@ -68,12 +68,22 @@ def mean_pool(states: Column, k: int) -> Column:
 
 
 def distance(x: Column, y: Column) -> Column:
-    return norm(F.zip_with(x, y, lambda a, b: a - b))
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
 
 def distance_stats(x: Column, anchors: Column) -> Column:
-    """Mean, least, largest and sample deviation (null for one anchor) of the distances to all anchors."""
-    d = F.transform(anchors, lambda a: distance(x, a))
-    n, m = F.size(anchors), mean(d)
-    square = F.aggregate(F.transform(d, lambda v: (v - m) * (v - m)), F.lit(0.0), lambda s, v: s + v)
-    return F.array(m, F.array_min(d), F.array_max(d), F.when(n > 1, F.sqrt(square / (n - 1))))
+    """Mean, least, largest and sample deviation (null for one anchor) of the distances to all anchors.
+
+    One fold over the distances (Welford), as an expression that a lambda names twice is computed twice.
+    """
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"), F.lit(float("inf")).alias("low"), F.lit(float("-inf")).alias("high"))
+
+    def step(acc: Column, v: Column) -> Column:
+        n, shift = acc["n"] + 1, v - acc["mean"]
+        mean = acc["mean"] + shift / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + shift * (v - mean)).alias("m2"), F.least(acc["low"], v).alias("low"), F.greatest(acc["high"], v).alias("high"))
+
+    def finish(acc: Column) -> Column:
+        return F.array(acc["mean"], acc["low"], acc["high"], F.when(acc["n"] > 1, F.sqrt(acc["m2"] / (acc["n"] - 1))))
+
+    return F.aggregate(F.transform(anchors, lambda a: distance(x, a)), zero, step, finish)

@@ -43,7 +43,7 @@ def chat(raw: Column) -> Column:
 
 
 def position() -> Column:
-    """An order of rows that does not depend on how they were read: file, then place within it."""
+    """Grows with the place in a read; only for ties, as it depends on how files are split into tasks."""
     return F.monotonically_increasing_id()
 
 
@@ -135,7 +135,8 @@ def benign_trajectories(spark: SparkSession, root: str, share: float = 0.25, see
     schema = "item_id string, conversations array<struct<`from`:string,value:variant>>"
     raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*_train.json").json(root)
     rows = raw.withColumns({"domain": F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_train\.json$", 1), "_ord": position()})
-    rows = fraction(rows, "domain", share, seeded(seed, F.concat(F.col("domain"), F.lit("|"), F.coalesce("item_id", F.lit("")), F.lit("|"), F.col("_ord").cast("string"))))
+    said_all = F.to_json(F.struct("conversations"))
+    rows = fraction(rows, "domain", share, seeded(seed, F.concat(F.col("domain"), F.lit("|"), F.coalesce("item_id", F.lit("")), F.lit("|"), said_all)))
     turn = F.transform("conversations", lambda m: F.named_struct(F.lit("role"), normal_role(m["from"]), F.lit("content"), content_text(m["value"]), F.lit("name"), F.lit(None).cast("string"), F.lit("tool_call"), F.lit(None).cast("variant")))
     rows = rows.withColumn("messages", turn).withColumn("text", render(F.col("messages"))).where("text <> ''")
     out = conform(rows, label=0, text=F.col("text"), source="benign_trajectories", kind="conversation", sample_type=F.col("domain"), messages=F.col("messages"), domain=F.col("domain"), item_id=F.col("item_id"), ord=F.col("_ord"))
@@ -143,7 +144,7 @@ def benign_trajectories(spark: SparkSession, root: str, share: float = 0.25, see
 
 
 def capped(rows: DataFrame, most: int | None) -> DataFrame:
-    return rows if most is None else balanced_cap(rows, most, F.sha1(F.concat_ws("|", "source", F.col("label").cast("string"), F.col("ord").cast("string"))))
+    return rows if most is None else balanced_cap(rows, most, F.sha1(F.concat_ws("|", "source", F.col("label").cast("string"), "text")))
 
 
 def unify(*sources: DataFrame) -> DataFrame:

@@ -160,3 +160,19 @@ def test_a_share_of_zero_leaves_out(spark, sf):
     rows = mixing.mix_to_targets(docs, {"lang": {"en": 1.0}}).collect()
     assert all((r.rate > 0) == (r.lang == "en") for r in rows)
     assert all(r.copies == 0 for r in rows if r.lang != "en")
+
+
+def test_rare_sources_are_levels_of_their_own(spark):
+    """Over a thousand sources below 0.1 % of the words, of three sizes, beside two large ones."""
+    sizes = {f"rare{i}": 1 + i % 3 for i in range(1200)} | {"big": 9000, "hot": 20_000, None: 7}
+    rows = [(i, "w " * (n // 2 if lang == "en" else n - n // 2), s, lang) for i, ((s, n), lang) in enumerate((x, g) for x in sizes.items() for g in ("en", "de"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    counts = mixing.word_counts(docs, ["source", "lang"])
+    target = mixing.temper(counts, "source", 0.7)
+    total = sum(n**0.7 for n in sizes.values())
+    assert target.keys() == {mixing.OTHER if s is None else s for s in sizes}
+    assert all(abs(target[mixing.OTHER if s is None else s] / (n**0.7 / total) - 1) < 1e-9 for s, n in sizes.items())
+    got = mixing.mix_to_targets(docs, {"source": target, "lang": {"en": 0.4}}, counts=counts).collect()
+    by_source, by_lang = shares(got, "source", "rate"), shares(got, "lang", "rate")
+    assert all(abs(by_source[s] / (n**0.7 / total) - 1) < 1e-6 for s, n in sizes.items())
+    assert abs(by_lang["en"] - 0.4) < 1e-6

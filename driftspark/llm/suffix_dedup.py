@@ -16,6 +16,10 @@ from .suffix import CHUNK, Spool, scratch, suffix_array
 
 #: Words of the k-grams that anchor passages.
 GRAM = 25
+#: Distinct words of a shard that are numbered in memory; beyond it their hashes are the symbols.
+VOCABULARY = 1 << 22
+#: Distinct stretches of a shard that are looked out for, so that copies are sorted once.
+KNOWN = 1 << 18
 SPANS = "doc_id long, row long, first_doc long, remove boolean, start long, stop long"
 
 
@@ -140,89 +144,191 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["shard", "doc_id", "row", "lo", "words"])
 
 
+def vocabulary(words: np.ndarray) -> np.ndarray | None:
+    """The distinct words in order, gathered part by part; None if they are more than VOCABULARY."""
+    names, lo = np.zeros(0, words.dtype), 0
+    while lo < len(words) and len(names) <= VOCABULARY:
+        hi = lo + max(4 * CHUNK, len(names) // 4)
+        names, lo = np.union1d(names, np.unique(words[lo:hi])), hi
+    return names if len(names) <= VOCABULARY else None
+
+
+def symbols(words: np.ndarray, begin: np.ndarray, folder: str) -> tuple[Spool, int, int]:
+    """Text of some symbols a word, as many 1s after each piece and a 0 at the end; the number of symbols, and how many are a word.
+
+    A word is its place in the vocabulary in two digits, or if that is too large the 32-bit hash itself in three.
+    """
+    names = vocabulary(words)
+    base, digits = (1 << 11, 3) if names is None else (max(2, int(np.ceil(np.sqrt(len(names))))), 2)
+    spool = Spool(folder, np.uint16)
+    lo, n = 0, len(begin) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + CHUNK, "right")) - 1)
+        v = words[begin[lo] : begin[hi]]
+        v = v.astype(np.int64) if names is None else np.searchsorted(names, v)
+        at = digits * (np.arange(len(v)) + np.repeat(np.arange(hi - lo), np.diff(begin[lo : hi + 1])))
+        text = np.ones(digits * (len(v) + hi - lo), np.int64)
+        for i in reversed(range(digits)):
+            text[at + i], v = v % base + 2, v // base
+        spool.add(text)
+        lo = hi
+    spool.add(np.zeros(1))
+    return spool, base + 2, digits
+
+
+def summed(values: np.ndarray, folder: str) -> np.ndarray:
+    """Sums of all values before each place, and of all, in a file."""
+    spool, total = Spool(folder, np.int64), 0
+    spool.add(np.zeros(1))
+    for lo in range(0, len(values), CHUNK):
+        part = np.cumsum(values[lo : lo + CHUNK]) + total
+        spool.add(part)
+        total = int(part[-1])
+    return spool.read()
+
+
+def copies(owner: np.ndarray, n: int, place: tuple, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of n distinct pieces: how many copies, the one at the least place, and where in the last array, of all pieces by owner, they begin."""
+
+    def blank(name: str, size: int) -> np.ndarray:
+        return np.memmap(os.path.join(folder, name), np.int64, "w+", shape=(max(size, 1),))[:size]
+
+    times, lead, by_owner, placed = blank("times", n), blank("lead", n), blank("copies", len(owner)), blank("placed", n)
+    for lo in range(0, len(owner), CHUNK):
+        o = np.asarray(owner[lo : lo + CHUNK])
+        order = np.lexsort((*(x[lo : lo + CHUNK] for x in reversed(place)), o))
+        first = np.flatnonzero(np.concatenate([[True], o[order][1:] != o[order][:-1]]))
+        u, c = o[order[first]], order[first] + lo
+        old = lead[u]
+        d, r, p = (x[c] for x in place)
+        d0, r0, p0 = (x[old] for x in place)
+        better = (times[u] == 0) | (d < d0) | ((d == d0) & ((r < r0) | ((r == r0) & (p < p0))))
+        lead[u[better]] = c[better]
+        times[u] += np.diff(np.concatenate([first, [len(o)]]))
+    begin = summed(times, folder)
+    for lo in range(0, len(owner), CHUNK):
+        o = np.asarray(owner[lo : lo + CHUNK])
+        order = np.argsort(o, kind="stable")
+        o = o[order]
+        first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        n_each = np.diff(np.concatenate([first, [len(o)]]))
+        by_owner[begin[o] + placed[o] + np.arange(len(o)) - np.repeat(first, n_each)] = order + lo
+        placed[o[first]] += n_each
+    return times, lead, begin, by_owner
+
+
 def passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, least: int, folder: str) -> Iterator[tuple]:
     """Repeated passages of at least `least` words among pieces.
 
     words has the distinct pieces one after another, size their words; owner tells
-    which of them each piece (doc, row, at) is. Yields doc, row, first_doc, remove, start, stop arrays: maximal runs of starts
-    whose windows of least words recur, with one first document.
+    which of them each piece (doc, row, at) is. Yields doc, row, first_doc, remove, start, stop arrays: runs of starts
+    whose windows of least words recur, with one first document; merged() joins runs that meet.
+
+    All arrays may be mapped files, and all that grows with them is in files of the folder: windows are
+    grouped in the order of the suffix array, each group being known by its first place, then brought
+    back to the order of the text by parts.
     """
-    names, ids = np.unique(words, return_inverse=True)
-    base = max(2, int(np.ceil(np.sqrt(len(names)))))
-    begin = np.concatenate([[0], np.cumsum(size)])
-    spool = Spool(folder, np.uint16 if base < 65000 else np.int64)
-    for i in range(0, len(size)):
-        v = ids[begin[i] : begin[i + 1]]
-        spool.add(np.append(np.stack([v // base + 2, v % base + 2], 1).ravel(), [1, 1]))
-    spool.add(np.zeros(1))
-    del ids, names
-    suffixes, shared = suffix_array(spool.read(), base + 2, folder)
+    own = scratch(folder, "passages")
+    try:
+        yield from _passages(words, size, owner, (doc, row, at), least, own)
+    finally:
+        shutil.rmtree(own, ignore_errors=True)
+
+
+def _passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, place: tuple, least: int, folder: str) -> Iterator[tuple]:
+    doc, row, at = place
+    begin = summed(size, folder)
+    spool, keys, digits = symbols(words, begin, folder)
+    sep = Spool(folder, np.int64)  # where each piece begins
+    for lo in range(0, len(size), CHUNK):
+        part = begin[lo : min(lo + CHUNK, len(size))]
+        sep.add((part + np.arange(lo, lo + len(part))) * digits)
+    sep = sep.read()
+    suffixes, shared = suffix_array(spool.read(), keys, folder)
+    spool.drop()
+    times, lead, copy, by_owner = copies(owner, len(size), place, folder)
+
+    def located(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Piece and word of text places, and (doc, row, start) of the first copy."""
+        piece = np.searchsorted(sep, s, "right") - 1
+        inside = (s - sep[piece]) // digits
+        c = lead[piece]
+        return piece, inside, [doc[c], row[c], at[c] + inside]
+
+    # windows of groups of two or more, by group; and the first place of each group
+    window, firsts = [Spool(folder, np.int64) for _ in range(2)], [Spool(folder, np.int64) for _ in range(3)]
+    groups, carry, open_ = 0, 0, None  # the open group: windows, first place, and its only text place while it has one window
     sa, lcp = suffixes.read(), shared.read()
-    sep = (begin[:-1] + np.arange(len(size))) * 2  # where each piece begins
-    times = np.bincount(owner, minlength=len(size))
-    flagged: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    group, carry, prev = 0, 0, None
     for lo in range(0, len(sa), CHUNK):
         s, p = np.asarray(sa[lo : lo + CHUNK]).astype(np.int64), np.asarray(lcp[lo : lo + CHUNK])
         piece = np.searchsorted(sep, s, "right") - 1
-        inside = (s - sep[piece]) // 2
-        keep = np.flatnonzero((s % 2 == 0) & (inside + least <= size[piece]))
+        inside = (s - sep[piece]) // digits
+        keep = np.flatnonzero((s % digits == 0) & (inside + least <= size[piece]))
         if not len(keep):
             carry = min(carry, int(p.min()))
             continue
         if keep[0]:
             carry = min(carry, int(p[: keep[0]].min()))
         to_next = np.minimum.reduceat(p, keep)
-        to_prev = np.concatenate([[carry], to_next[:-1]])
-        number = group + np.cumsum(to_prev < 2 * least)
-        group, carry = int(number[-1]), int(to_next[-1])
-        flagged.append((number, s[keep], times[piece[keep]] > 1))
-        # groups of one are dropped as soon as the next group begins
-        if len(flagged) >= 8:
-            flagged = [_repeats(flagged, group)]
-    for f in (spool, suffixes, shared):
+        new = np.concatenate([[carry], to_next[:-1]]) < digits * least
+        carry = int(to_next[-1])
+        s = s[keep]
+        piece, _, first = located(s)
+        n = times[piece]
+        if open_:
+            s, new, n = (np.concatenate([[x], y]) for x, y in zip((open_[2], True, open_[0]), (s, new, n)))
+            first = [np.concatenate([[x], y]) for x, y in zip(open_[1], first)]
+        number, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        total = np.add.reduceat(n, starts)
+        best = np.lexsort((*reversed(first), number))[starts]
+        many = total > 1
+        write = many[number] & (s >= 0)
+        window[0].add((groups + np.cumsum(many) - 1)[number][write])
+        window[1].add(s[write])
+        done = many[:-1]
+        for f, x in zip(firsts, first):
+            f.add(x[best[:-1]][done])
+        groups += int(done.sum())
+        open_ = int(total[-1]), [int(x[best[-1]]) for x in first], -1 if many[-1] else int(s[starts[-1]])
+    if open_ and open_[0] > 1:
+        for f, x in zip(firsts, open_[1]):
+            f.add(np.array([x]))
+    del sa, lcp
+    for f in (suffixes, shared):
         f.drop()
-    if not flagged:
-        return
-    number, s, _ = _repeats(flagged, None)
-    if not len(s):
-        return
-    # back from distinct pieces to all
-    unique = np.searchsorted(sep, s, "right") - 1
-    by_owner, n = np.argsort(owner, kind="stable"), times[unique]
-    first = np.concatenate([[0], np.cumsum(times)])[unique]
-    piece = by_owner[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    start = np.repeat((s - sep[unique]) // 2, n) + at[piece]
-    number, d, r = np.repeat(number, n), doc[piece], row[piece]
-    order = np.lexsort((start, r, d, number))
-    number, d, r, start = number[order], d[order], r[order], start[order]
-    # a place may lie in two pieces of a row
-    new = np.concatenate([[True], (number[1:] != number[:-1]) | (r[1:] != r[:-1]) | (start[1:] != start[:-1])])
-    number, d, r, start = number[new], d[new], r[new], start[new]
-    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-    count = np.diff(np.concatenate([first, [len(number)]]))
-    first_doc, remove = np.repeat(d[first], count), np.ones(len(d), bool)
-    remove[first] = False
-    many = np.repeat(count > 1, count)
-    d, r, start, first_doc, remove = (x[many] for x in (d, r, start, first_doc, remove))
-    if not len(d):
-        return
-    order = np.lexsort((start, remove, first_doc, r, d))
-    d, r, start, first_doc, remove = (x[order] for x in (d, r, start, first_doc, remove))
-    new = np.concatenate([[True], (r[1:] != r[:-1]) | (d[1:] != d[:-1]) | (first_doc[1:] != first_doc[:-1]) | (remove[1:] != remove[:-1]) | (start[1:] > start[:-1] + 1)])
-    lo = np.flatnonzero(new)
-    hi = np.concatenate([lo[1:], [len(d)]]) - 1
-    yield d[lo], r[lo], first_doc[lo], remove[lo], start[lo], start[hi] + least
 
-
-def _repeats(flagged: list, last: int | None) -> list[np.ndarray]:
-    """Members of groups of two or more, or of pieces that have copies; the group `last` may still grow."""
-    number, s, copied = (np.concatenate(x) for x in zip(*flagged))
-    same = number[1:] == number[:-1]
-    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | copied
-    if last is not None:
-        keep |= number == last
-    return [number[keep], s[keep], copied[keep]]
+    # (text place, first document, whether it is the first place) by parts of the text
+    numbers, at_text, firsts = window[0].read(), window[1].read(), [f.read() for f in firsts]
+    width = 8 * CHUNK
+    for lo in range(0, len(numbers), 4 * CHUNK):
+        g, s = numbers[lo : lo + 4 * CHUNK], at_text[lo : lo + 4 * CHUNK]
+        group = [x[g] for x in firsts]
+        same = np.logical_and.reduce([x == y for x, y in zip(located(s)[2], group)])
+        order = np.argsort(s // width, kind="stable")
+        part, rows = (s // width)[order], np.stack([s, group[0], same], 1)[order]
+        bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            with open(os.path.join(folder, f"part-{part[i]}"), "ab") as f:
+                f.write(np.ascontiguousarray(rows[i:j]).data)
+    for k in range((int(begin[-1]) + len(size)) * digits // width + 1):
+        path = os.path.join(folder, f"part-{k}")
+        if not os.path.exists(path):
+            continue
+        rows = np.fromfile(path, np.int64).reshape(-1, 3)
+        os.unlink(path)
+        s, first_doc, same = rows[np.argsort(rows[:, 0])].T
+        piece, inside, _ = located(s)
+        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (inside[1:] != inside[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (same[1:] != same[:-1])])
+        lo = np.flatnonzero(new)
+        hi = np.concatenate([lo[1:], [len(s)]]) - 1
+        piece, start, stop, first_doc, same = piece[lo], inside[lo], inside[hi] + least, first_doc[lo], same[lo] > 0
+        ends = np.cumsum(times[piece])
+        for i in range(0, int(ends[-1]), CHUNK):  # back from distinct pieces to all
+            j = np.arange(i, min(i + CHUNK, int(ends[-1])))
+            run = np.searchsorted(ends, j, "right")
+            u = piece[run]
+            c = by_owner[copy[u] + j - (ends[run] - times[u])]
+            yield doc[c], row[c], first_doc[run], ~(same[run] & (c == lead[u])), at[c] + start[run], at[c] + stop[run]
 
 
 def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -237,12 +343,10 @@ def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
             held: dict = {}
 
             def finish() -> Iterator[pa.RecordBatch]:
-                doc, row, at = (np.concatenate(held[k]) for k in ("doc", "row", "at"))
-                words = held["words"].read()
-                for cols in passages(words, np.array(held["size"], np.int64), np.array(held["owner"], np.int64), doc, row, at, least, own):
+                for cols in passages(*(f.read() for f in held["files"].values()), least, own):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
-                del words
-                held["words"].drop()
+                for f in held["files"].values():
+                    f.drop()
                 held.clear()
 
             for batch in batches:
@@ -253,19 +357,28 @@ def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     if held and held["shard"] != shard[lo]:
                         yield from finish()
                     if not held:
-                        held.update(shard=shard[lo], words=Spool(own, np.uint32), known={}, size=[], owner=[], doc=[], row=[], at=[])
+                        files = {k: Spool(own, np.uint32 if k == "words" else np.int64) for k in ("words", "size", "owner", "doc", "row", "at")}
+                        held.update(shard=shard[lo], files=files, known={}, last=None)
                     part = batch.slice(int(lo), int(hi - lo))
-                    blobs = part.column(4)
-                    for b in blobs:
+                    # pieces come by row and place: those of rows that are wholly repeated follow one another
+                    row, at = np.asarray(part.column(2)), np.asarray(part.column(3))
+                    fresh = np.concatenate([[held["last"] != (row[0], at[0])], (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
+                    held["last"] = row[-1], at[-1]
+                    part = part.filter(pa.array(fresh))
+                    files, known, size, owner = held["files"], held["known"], [], []
+                    for b in part.column(4):
                         raw = b.as_buffer()
                         key = hashlib.blake2b(raw, digest_size=16).digest()
-                        if key not in held["known"]:
-                            held["known"][key] = len(held["size"])
-                            held["size"].append(raw.size // 4)
-                            held["words"].add(np.frombuffer(raw, np.uint32))
-                        held["owner"].append(held["known"][key])
-                    for k, c in (("doc", 1), ("row", 2), ("at", 3)):
-                        held[k].append(np.asarray(part.column(c)))
+                        which = known.get(key)
+                        if which is None:
+                            which = files["size"].n + len(size)
+                            size.append(raw.size // 4)
+                            files["words"].add(np.frombuffer(raw, np.uint32))
+                            if len(known) < KNOWN:  # a copy of an unknown piece is sorted like any other
+                                known[key] = which
+                        owner.append(which)
+                    for k, x in (("size", size), ("owner", owner), ("doc", part.column(1)), ("row", part.column(2)), ("at", part.column(3))):
+                        files[k].add(np.asarray(x, np.int64))
             if held:
                 yield from finish()
         finally:
@@ -316,8 +429,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 <<
     without loss. The stretches around repeated anchors go to shards such that all
     occurrences of an anchor meet, anchors of one stretch together if possible. A
     shard's distinct stretches become a text in files of the shared folder, and its suffix array
-    with common prefixes is built there by external induced sorting (suffix.py),
-    so a shard may be much larger than memory. Neighbouring suffixes that share
+    with common prefixes is built there by external induced sorting (suffix.py).
+    Stretches, symbols, windows and their groups are in files too, so a shard may be much larger than memory. Neighbouring suffixes that share
     `least` words are a repeat. Shards have about shard_words words; an anchor's
     copies are never divided.
 

@@ -88,6 +88,50 @@ def test_passages_edge_cases(messy, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 22, 10])
+def test_a_shards_memory_does_not_grow_with_it(tmp_path, monkeypatch, most):
+    """One passage of 60 words in many documents with surroundings of their own, in one shard."""
+    import tracemalloc
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 11)
+    monkeypatch.setattr(suffix_dedup, "VOCABULARY", most, raising=False)
+    rng, n, own, shared = np.random.default_rng(3), 6000, 10, 60
+    words = rng.integers(0, 1 << 32, (n, own + shared), dtype=np.uint32)
+    words[:, : own // 2] %= 1000
+    words[:, own:] = words[0, own:]
+    owner = np.concatenate([np.arange(n), [5, 0, 5]])  # three more are copies
+    doc, row, at = 10 + rng.permutation(len(owner)), rng.permutation(len(owner)), rng.integers(0, 9, len(owner))
+    peaks, build = [], suffix.suffix_array
+
+    def watched(*args):
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        out = build(*args)
+        tracemalloc.reset_peak()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "suffix_array", watched)
+    got = set()
+    tracemalloc.start()
+    held = 0
+    for cols in suffix_dedup.passages(words.ravel(), np.full(n, own + shared), owner, doc, row, at, 50, str(tmp_path)):
+        peaks.append(tracemalloc.get_traced_memory()[1] - held)
+        before = tracemalloc.get_traced_memory()[0]
+        for d, r, f, gone, a, b in zip(*(x.tolist() for x in cols)):
+            got |= {(d, r, f, gone, p) for p in range(a, b - 49)}
+        held += tracemalloc.get_traced_memory()[0] - before
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    whole = {o: {p for p in range(own, own + shared - 49)} | (set(range(own)) if (owner == o).sum() > 1 else set()) for o in range(n)}
+    want = set()
+    for i, o in enumerate(owner.tolist()):
+        for p in whole[o]:
+            rivals = np.arange(len(owner)) if p >= own else np.flatnonzero(owner == o)
+            first = rivals[np.argmin(doc[rivals])]
+            want.add((int(doc[i]), int(row[i]), int(doc[first]), bool(i != first), int(at[i]) + p))
+    assert got == want
+    assert max(peaks) < 6 << 20
+
+
 def test_folder_must_be_a_path(spark):
     with pytest.raises(ValueError):
         suffix_dedup.shared_folder(spark, "hdfs://somewhere/else")

@@ -24,19 +24,30 @@ def render(source, **values):
         ("{{ 'b' in 'abc' }}{{ 'z' not in ['a'] if false else 1 }}", {}, "True1"),
         ("{# note #}{{ '%s' }}{{ \"q\\n\" }}", {}, "%sq\n"),
         ("{{ 7 // 2 }}{{ 7 % 2 }}{{ -3 + 1 }}", {}, "31-2"),
+        ("{% for x in xs if x > 1 %}{{ loop.index }}{{ x }}{{ loop.nextitem }} {% else %}none{% endfor %}", {"xs": [1, 2, 3]}, "123 23 "),
+        ("{% for x in xs if x > 9 %}{{ x }}{% else %}none{% endfor %}", {"xs": [1]}, "none"),
+        ("{% set ns = namespace(n=0, last='') %}{% for x in xs %}{% set ns.n = ns.n + x %}{% set ns.last = x %}{% endfor %}{{ ns.n }}{{ ns.last }}", {"xs": [1, 2, 4]}, "74"),
+        ("{{ x.strip().upper() }}{{ x.startswith(' a') }}{{ x.split('b')[0] }}|{{ x.endswith(['c', 'b ']) }}", {"x": " ab "}, "ABTrue a|True"),
+        ("{% for k, v in m.items() %}{{ k }}={{ v }};{% endfor %}{{ m.get('z', 0) }}{{ m | length }}", {"m": {"a": 1, "b": None}}, "a=1;b=None;02"),
+        ("{{ m | tojson(indent=1) }}{{ '' | default('d', true) }}{{ '' | default('d') }}{{ xs | join(sep='+') }}", {"m": {"a": 1}, "xs": [1, 2]}, '{\n "a": 1\n}d1+2'),
+        ("{{ ms | selectattr('role', 'equalto', 'user') | map(attribute='content') | join(',') }}{{ ms | rejectattr('role', 'eq', 'user') | list | length }}", {"ms": [{"role": "user", "content": "a"}, {"role": "tool", "content": "b"}, {"role": "user", "content": "c"}]}, "a,c1"),
+        ("{% for m in messages[::-1] %}{{ m.content }}{% endfor %}{{ messages[:-1] | length }}", {"messages": [{"content": "a"}, {"content": "b"}]}, "ba1"),
+        ("{% set sys = messages[0].content if messages[0].role == 'system' else '' %}{% set rest = messages[1:] if sys else messages %}[{{ sys }}]{% for m in rest %}{% if (m.role == 'user') != (loop.index0 % 2 == 0) %}{{ raise_exception('turns') }}{% endif %}{{ m.content | trim }}/{% endfor %}", {"messages": [{"role": "system", "content": "S"}, {"role": "user", "content": " q "}, {"role": "assistant", "content": "a"}]}, "[S]q/a/"),
+        ("{% if tools is not none and tools is defined %}t{% endif %}{% for i in range(2, 5) %}{{ i }}{% endfor %}{{ {'a': [1, 2]}['a'][1] }}{{ 3 is odd }}", {"tools": None}, "2342True"),
+        ("a\n  {%- if true -%}  b  {%- endif %} c {{- ' d' }}{{ -1 }}", {}, "ab c d-1"),
     ],
 )
 def test_templates(source, values, want):
     assert render(source, **values)[0] == want
 
 
-@pytest.mark.parametrize("source", ["{% if x %}", "{{ a b }}", "{% endfor %}", "{{ x.__class__() }}", "{{ 1 | nothing }}", "{% while x %}{% endwhile %}", "{{ range(3) }}", "{{ open('f') }}", "{{ 'x }}", "{{ }}"])
+@pytest.mark.parametrize("source", ["{% if x %}", "{{ a b }}", "{% endfor %}", "{{ x.__class__() }}", "{{ 1 | nothing }}", "{% while x %}{% endwhile %}", "{{ ranges(3) }}", "{{ x.encode() }}", "{{ x.format(1) }}", "{{ x | join(of=1) }}", "{{ x[] }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{{ " + "9" * 5000 + " }}", "{% if x %}" * 3000 + "{% endif %}" * 3000, "{{ open('f') }}", "{{ 'x }}", "{{ }}"])
 def test_templates_that_cannot_be_compiled(source):
     with pytest.raises(chat.TemplateError):
         chat.compile_template(source)
 
 
-@pytest.mark.parametrize("source", ["{{ x + 1 }}", "{{ 'a' * 9 }}", "{{ '%d' % 1 }}", "{% for c in 'ab' %}{% endfor %}", "{{ raise_exception('no') }}", "{{ 1 / 0 }}"])
+@pytest.mark.parametrize("source", ["{{ 'abc'['a':'b'] }}", "{{ 'abc'[1.5:] }}", "{{ 'abc'[::0] }}", "{{ none | length }}", "{{ 1 | int | join }}", "{{ 'a' | replace }}", "{{ {[1]: 2} }}", "{{ 1.startswith('a') }}", "{{ none.items() }}", "{{ 'a'.startswith(1) }}", "{{ range(999999999) }}", "{% set x = 1 %}{% set x.y = 2 %}", "{% for a, b in [1] %}{% endfor %}", "{{ 'x' | int }}", "{{ [3, 'a'] | sort }}", "{{ 1e9 }}", "{{ x + 1 }}", "{{ 'a' * 9 }}", "{{ '%d' % 1 }}", "{% for c in 'ab' %}{% endfor %}", "{{ raise_exception('no') }}", "{{ 1 / 0 }}"])
 def test_templates_that_fail_on_values(source):
     with pytest.raises(chat.TemplateError):
         render(source)
@@ -88,6 +99,8 @@ def test_conversation_edge_cases(spark):
     assert by[2].error == "only users" and by[2].text is None and by[3].error is None
     with pytest.raises(chat.TemplateError):
         chat.format_chats(turns, "{% for %}")
+    wrong = {r.conv_id: r for r in chat.format_chats(turns, "{{ messages[0].content['a':'b'] }}").collect()}
+    assert all(r.text is None and r.error for r in wrong.values()) and len(wrong) == 4
 
 
 @pytest.mark.parametrize("n,vocabulary,block", [(0, 5, 64), (1, 1, 64), (1000, 50_000, 64), (5000, 7, 1 << 18), (700, 1 << 20, 128)])

@@ -36,24 +36,16 @@ class Bloom:
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes that, as far as the filters can tell, came before: each such hash about once."""
-    seen, told = [Bloom(1 << 16)], [Bloom(1 << 12)]
-
-    def add(chain: list[Bloom], h: np.ndarray) -> None:
-        if chain[-1].room < len(h):
-            chain.append(Bloom(max(4 * len(h), 2 * 16 * len(chain[-1].words) // 4)))
-        chain[-1].add(h)
-
-    def has(chain: list[Bloom], h: np.ndarray) -> np.ndarray:
-        return np.logical_or.reduce([b.has(h) for b in chain])
-
+    """Hashes that, as far as the filters can tell, came before."""
+    seen = [Bloom(1 << 16)]
     for batch in batches:
-        h = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-        h, n = np.unique(h, return_counts=True)
-        old = has(seen, h)
-        add(seen, h[~old])
+        h, n = np.unique(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64), return_counts=True)
+        old = np.logical_or.reduce([b.has(h) for b in seen])
+        new = h[~old]
+        if seen[-1].room < len(new):
+            seen.append(Bloom(max(4 * len(new), 2 * 16 * len(seen[-1].words) // 4)))
+        seen[-1].add(new)
         hits = h[old | (n > 1)]
-        add(told, hits)
         if len(hits):
             yield pa.RecordBatch.from_arrays([pa.array(hits.view(np.int64))], names=["h"])
 
@@ -70,7 +62,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bro
 
     Null text: such rows are no copies of one another, all stay. Empty texts are
     equal texts. Ties in the id (also wholly repeated rows): one row stays, the
-    first by its JSON form. A null id comes after all others. Extra columns are
+    first by the JSON form of its other columns. A text shuffles once, as a key. A null id comes after all others. Extra columns are
     kept as they are, whatever their names. An empty table gives an empty table.
     """
     h, k, flag, order, best = fresh(docs, "h", "k", "flag", "order", "best")
@@ -85,12 +77,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bro
     marked = hashed.join(keys, col(h) == col(k), "left")
     names = [col(c) for c in docs.columns]
     unique = marked.where(col(flag).isNull()).select(*names)
-    first = F.struct(col(doc_id).isNull(), col(doc_id), F.to_json(F.struct(*[F.struct(c) for c in names])))
+    others = [c for c in docs.columns if c != text]
+    first = F.struct(col(doc_id).isNull(), col(doc_id), F.to_json(F.struct(*[F.struct(col(c)) for c in others])))
     rest = (
         marked.where(col(flag).isNotNull())
-        .select(col(h).alias(h), F.struct(*names).alias(best), first.alias(order))
-        .groupBy(h, f"{best}.`{text}`")
+        .select(col(h).alias(h), col(text).alias(k), F.struct(*[col(c) for c in others]).alias(best), first.alias(order))
+        .groupBy(h, k)
         .agg(F.min_by(best, order).alias(best))
-        .select(*[col(best).getField(c).alias(c) for c in docs.columns])
+        .select(*[col(k).alias(c) if c == text else col(best).getField(c).alias(c) for c in docs.columns])
     )
     return unique.unionByName(rest)

@@ -18,7 +18,8 @@ class BestFit:
 
     At most open_bins bins are open. A bitset has bit f set where a bin with f
     free places is open; the best fit for a piece of n is its lowest bit from n
-    on. If nothing fits and all bins are open, the fullest one closes first.
+    on. If nothing fits and all bins are open, the fullest one closes first. A
+    piece that fills a bin by itself closes none.
     """
 
     def __init__(self, capacity: int, open_bins: int) -> None:
@@ -32,7 +33,7 @@ class BestFit:
             f = n + (fits & -fits).bit_length() - 1
             number, slot = self._take(f)
         else:
-            if self.count == self.most:
+            if self.count == self.most and n < self.capacity:
                 self._take((self.free & -self.free).bit_length() - 1)
             f, number, slot = self.capacity, self.made, 0
             self.made += 1
@@ -77,7 +78,7 @@ def packer(capacity: int, open_bins: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, shard_tokens: int = 1 << 22, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def best_fit_pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, shard_tokens: int = 1 << 22, task_rows: int = 1 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Sequences of at most capacity words: one row (shard, bin, slot, doc_id, start, length) a piece.
 
     Documents go to shards of about shard_tokens words by a hash of id and
@@ -85,7 +86,8 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, sh
     not depend on the number of partitions. Only ids and lengths shuffle. Longer
     documents are cut into pieces of capacity words and a rest; every word is in
     exactly one piece. open_bins is the space bound of the method, not a cap on
-    the input.
+    the input. A task takes whole shards, one after another, of about task_rows
+    documents together.
 
     Null and empty texts have no words: one row with bin and slot null and
     length 0. Rows with the same or no id are packed each on its own; doc_id is
@@ -93,8 +95,9 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, sh
     empty table.
     """
     lens = cut(docs.select(col(doc_id).cast("long").alias("doc_id"), tokens(col(text)).alias("n")))
-    total = lens.agg(F.sum("n")).first()[0] or 0
+    total, rows = lens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, -(-total // shard_tokens))
+    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_rows)))
     spread = lens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)))
-    ordered = spread.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(7), "doc_id", "n"), "doc_id", "n")
+    ordered = spread.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", F.xxhash64(F.lit(7), "doc_id", "n"), "doc_id", "n")
     return ordered.select("shard", "doc_id", "n").mapInArrow(packer(capacity, open_bins), SCHEMA)

@@ -64,7 +64,7 @@ class Slow:
             b = [b for b in fits if b[0] == free][-1]
             self.open.remove(b)
         else:
-            if len(self.open) == self.most:
+            if len(self.open) == self.most and n < self.capacity:
                 free = min(b[0] for b in self.open)
                 self.open.remove([b for b in self.open if b[0] == free][-1])
             b = (self.capacity, self.made, 0)
@@ -81,6 +81,11 @@ def test_best_fit_agrees_with_looking_at_every_bin(sizes, most):
     assert [fast.put(n) for n in sizes] == [slow.put(n) for n in sizes]
 
 
+def test_a_full_piece_closes_no_bin():
+    fit = packing.BestFit(10, 1)
+    assert [fit.put(n) for n in (6, 10, 4)] == [(0, 0), (1, 0), (0, 1)]
+
+
 def test_packing_places_every_word_once(spark, sf, messy):
     for docs, capacity in ((messy, 50), (load(spark, sf, "documents"), 256)):
         rows = packing.best_fit_pack(docs, capacity=capacity, open_bins=4, shard_tokens=20_000).collect()

@@ -90,23 +90,24 @@ class Field:
         return out
 
 
-def fit(x: np.ndarray, offs: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.15, l2: float = 1e-3) -> Field:
-    """The field of highest likelihood for rows whose lines all have the row's label, by Adam on exact gradients."""
-    mean, scale = x.mean(0), x.std(0)
-    mean[-1], scale[scale < 1e-9] = 0, 1
-    size = np.diff(offs)
-    keep = np.flatnonzero(size > 0)
-    keep = keep[np.argsort(-size[keep], kind="stable")]
-    start, size, y = offs[:-1][keep], size[keep], y[keep].astype(int)
-    z = (x - mean) / scale
-    label = np.zeros(len(x))
-    for s, n, v in zip(start, size, y):
-        label[s : s + n] = v
-    theta = np.zeros(len(mean) + 6)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]))]
-    total = float(size.sum())
-    for r in range(1, rounds + 1):
+class Chains:
+    """Lines of chains with known labels, arranged so that all chains move one line at a time."""
+
+    def __init__(self, z: np.ndarray, offs: np.ndarray, label: np.ndarray) -> None:
+        size = np.diff(offs)
+        keep = np.flatnonzero(size > 0)
+        keep = keep[np.argsort(-size[keep], kind="stable")]
+        self.z, self.label, self.start, self.size = z, label.astype(int), offs[:-1][keep], size[keep]
+        self.live = [int(np.searchsorted(-self.size, -t, "left")) for t in range(int(self.size[0]))]
+        self.at = np.concatenate([np.arange(s, s + n) for s, n in zip(self.start, self.size)])
+        follows = np.ones(len(z), bool)
+        follows[offs[:-1][size > 0]] = False
+        to = np.flatnonzero(follows)
+        self.moves = np.bincount(2 * self.label[to - 1] + self.label[to], minlength=4)
+
+    def loss(self, theta: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+        """Negative log likelihood a line and its gradient, with a quadratic penalty."""
+        z, start, size, live, at_all = self.z, self.start, self.size, self.live, self.at
         w, first, moves = theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2)
         e = np.stack([np.zeros(len(z)), z @ w], 1)
         alpha, beta = np.zeros((len(z), 2)), np.zeros((len(z), 2))
@@ -122,39 +123,59 @@ def fit(x: np.ndarray, offs: np.ndarray, y: np.ndarray, rounds: int = 80, rate:
             beta[at - 1] = np.logaddexp(moves[:, 0] + right[:, 0:1], moves[:, 1] + right[:, 1:2])
             joint = alpha[at - 1][:, :, None] + moves + right[:, None, :] - norm[: live[t], None, None]
             pair += np.exp(joint).sum(0)
-        row_norm = np.repeat(norm, size)
-        at = np.concatenate([np.arange(s, s + n) for s, n in zip(start, size)])
         p1 = np.zeros(len(z))
-        p1[at] = np.exp(alpha[at, 1] + beta[at, 1] - row_norm)
-        q1 = p1[start]
-        g_first = np.array([(1 - q1).sum() - (y == 0).sum(), q1.sum() - (y == 1).sum()])
-        seen = np.diag([(size[y == k] - 1).sum() for k in (0, 1)])
-        grad = np.concatenate([z.T @ (p1 - label), g_first, (pair - seen).ravel()]) / total + l2 * theta
+        p1[at_all] = np.exp(alpha[at_all, 1] + beta[at_all, 1] - np.repeat(norm, size))
+        y, seen, total = self.label[start], self.moves, float(size.sum())
+        g_first = np.array([(1 - p1[start]).sum() - (y == 0).sum(), p1[start].sum() - (y == 1).sum()])
+        known = self.label[at_all] @ e[at_all, 1] + first[y].sum() + seen @ moves.ravel()
+        grad = np.concatenate([z[at_all].T @ (p1 - self.label)[at_all], g_first, pair.ravel() - seen])
+        return (norm.sum() - known) / total + l2 / 2 * theta @ theta, grad / total + l2 * theta
+
+
+def fit(x: np.ndarray, offs: np.ndarray, label: np.ndarray, rounds: int = 80, rate: float = 0.15, l2: float = 1e-3) -> Field:
+    """The field of highest likelihood for chains whose lines have the labels, by Adam on exact gradients."""
+    mean, scale = x.mean(0), x.std(0)
+    mean[-1], scale[scale < 1e-9] = 0, 1
+    chains = Chains((x - mean) / scale, offs, label)
+    theta = np.zeros(len(mean) + 6)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for r in range(1, rounds + 1):
+        grad = chains.loss(theta, l2)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-9)
     return Field(theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2), mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 400, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Field:
-    """A field from at most max_docs labelled documents of at most max_lines lines, those whose ids hash lowest.
+def chained(parts: list[np.ndarray], y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, chain offsets and line labels of the fitting sample.
 
-    Both bounds are on the fitting sample only. A document's label stands for each
-    of its lines. Null labels and labels without a document are not used. Without
+    Each document is a chain of its own label, or several of at most `most` lines
+    one after another. Then the k-th document of one label is joined to the k-th
+    of the other, the good one first for even k, so the field also sees labels change.
+    """
+    cut = [(p[lo : lo + most], v) for p, v in zip(parts, y) for lo in range(0, len(p), most)]
+    chains = [[c] for c in cut]
+    good, bad = ([c for c in cut if c[1] == v] for v in (1, 0))
+    chains += [[a, b] if k % 2 == 0 else [b, a] for k, (a, b) in enumerate(zip(good, bad))]
+    x = np.concatenate([p for c in chains for p, _ in c])
+    label = np.concatenate([np.full(len(p), v) for c in chains for p, v in c])
+    return x, np.concatenate([[0], np.cumsum([sum(len(p) for p, _ in c) for c in chains])]), label
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, chain_lines: int = 400, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Field:
+    """A field from at most max_docs labelled documents, those whose ids hash lowest.
+
+    The bound is on the fitting sample only. A document's label stands for each
+    of its lines; chained() adds joined documents, where labels change. A
+    document of more than chain_lines lines is fitted as several chains of all
+    its lines. Null labels and labels without a document are not used. Without
     both classes, all lines are content.
     """
     sample = labels.where(col(label).isNotNull() & col(doc_id).isNotNull()).select(col(doc_id).alias("k"), (col(label) > 0).cast("int").alias("y"))
     sample = F.broadcast(sample.orderBy(F.xxhash64("k"), "k", "y").limit(max_docs))
     rows = docs.select(col(doc_id).alias("d"), col(text).alias("t")).join(sample, F.col("d") == F.col("k")).select("t", "y")
-    powers, width = Powers, len(FEATURES)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = powers()
-        for batch in slices(batches):
-            x, _, offs = lines(*flat(batch.column(0)), p)
-            lists = [x[a:b].ravel() if b - a <= max_lines else x[:0].ravel() for a, b in zip(offs, offs[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.float64()))], names=["y", "x"])
-
-    got = rows.mapInArrow(measure, "y int, x array<double>").toArrow()
+    width = len(FEATURES)
+    got = rows.mapInArrow(measured, "y int, x array<double>").toArrow()
     y = got.column("y").to_numpy()
     parts = [np.array(v, float).reshape(-1, width) for v in got.column("x").to_pylist()]
     order = sorted(range(len(parts)), key=lambda i: (parts[i].tobytes(), y[i]))
@@ -164,7 +185,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: i
         w = np.zeros(width)
         w[-1] = 1
         return Field(w, np.zeros(2), np.zeros((2, 2)), np.zeros(width), np.ones(width))
-    return fit(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y)
+    return fit(*chained(parts, y, chain_lines))
+
+
+def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    powers = Powers()
+    for batch in slices(batches):
+        x, _, offs = lines(*flat(batch.column(0)), powers)
+        lists = [x[a:b].ravel() for a, b in zip(offs, offs[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.float64()))], names=["y", "x"])
 
 
 def labeller(field: Field, least: float, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

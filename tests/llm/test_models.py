@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftspark.llm import boosted, crf, ppm
 from driftspark.llm.common import Powers, load
 
-from .conftest import LONG
+from .conftest import LONG, words
 
 
 class Trie:
@@ -109,12 +109,48 @@ def test_field_learns_runs():
     offs = np.concatenate([[0], np.cumsum(sizes)])
     lab = np.repeat(y, sizes)
     x = np.stack([lab + rng.normal(scale=0.8, size=len(lab)), np.ones(len(lab))], 1)
-    field = crf.fit(x, offs, y)
+    field = crf.fit(x, offs, lab)
     got = field.viterbi(field.scores(x), offs)
     alone = (x[:, 0] > 0.5).astype(int)
     assert (got == lab).mean() > 0.1 + (alone == lab).mean()
 
 
+def brute_loss(theta, z, offs, label, l2):
+    """Negative log likelihood a line by summing over all labellings."""
+    w, first, moves = theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2)
+    total = 0.0
+    for a, b in zip(offs, offs[1:]):
+        if a == b:
+            continue
+        score = z[a:b] @ w
+
+        def value(labels):
+            return first[labels[0]] + sum(s * y for s, y in zip(score, labels)) + sum(moves[p, q] for p, q in zip(labels, labels[1:]))
+
+        total += np.logaddexp.reduce([value(c) for c in itertools.product((0, 1), repeat=b - a)]) - value(label[a:b].tolist())
+    return total / offs[-1] + l2 / 2 * theta @ theta
+
+
+def test_training_gradient_agrees_with_differences():
+    rng = np.random.default_rng(8)
+    offs = np.array([0, 4, 4, 9, 10, 16])
+    z, label = rng.normal(size=(16, 3)), rng.integers(0, 2, 16)
+    theta = rng.normal(size=9)
+    loss, grad = crf.Chains(z, offs, label).loss(theta, 0.01)
+    assert abs(loss - brute_loss(theta, z, offs, label, 0.01)) < 1e-9
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-5
+        want = (brute_loss(theta + step, z, offs, label, 0.01) - brute_loss(theta - step, z, offs, label, 0.01)) / 2e-5
+        assert abs(grad[k] - want) < 1e-6
+
+
+def test_long_documents_train_with_all_their_lines():
+    parts, y = [np.arange(20.0).reshape(10, 2), np.zeros((3, 2)), np.ones((0, 2))], np.array([1, 0, 1])
+    x, offs, label = crf.chained(parts, y, 4)
+    assert np.diff(offs).tolist() == [4, 4, 2, 3, 7] and label.tolist() == [1] * 10 + [0] * 3 + [1] * 4 + [0] * 3
+    assert (x[:10] == parts[0]).all() and (x[13:17] == parts[0][:4]).all()
+
+
 @pytest.fixture(scope="module")
 def halves(spark):
     big = "/root/testdata/sf0.01"
@@ -135,6 +171,25 @@ def test_line_rules_on_labels_held_out(halves):
     assert kept > 0.97 and dropped > 0.7, (kept, dropped)
 
 
+def test_lines_of_spliced_documents_are_told_apart(halves):
+    """A held-out good document joined to a bad one: both labels, and most lines right."""
+    docs, train, truth = halves
+    field = crf.train(docs, train)
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in truth and r.text and len(r.text.strip().split("\n")) > 1}
+    good, bad = ([t for d, t in sorted(texts.items()) if truth[d] == q] for q in (1, 0))
+    right, both, constant = [], [], []
+    for k, (a, b) in enumerate(zip(good, bad)):
+        parts = [(a.strip(), 1), (b.strip(), 0)] if k % 2 == 0 else [(b.strip(), 0), (a.strip(), 1)]
+        data = np.frombuffer("\n".join(t for t, _ in parts).encode(), np.uint8)
+        want = np.concatenate([np.full(sum(bool(words(x)) for x in t.split("\n")), v) for t, v in parts])
+        x, _, offs = crf.lines(data, np.array([0, len(data)]), Powers())
+        got = field.viterbi(field.scores(x), offs)
+        right.append((got == want).mean())
+        both.append(len(set(got)) == 2)
+        constant.append(max(want.mean(), 1 - want.mean()))
+    assert len(right) >= 10 and np.mean(both) > 0.85 and np.mean(right) > 0.9 > 0.1 + np.mean(constant), (len(right), np.mean(both), np.mean(right), np.mean(constant))
+
+
 def test_line_rules_edge_cases(spark, messy, empty, halves):
     docs, train, _ = halves
     field = crf.train(docs, train)
@@ -172,6 +227,39 @@ def test_flat_trees_agree_with_walking_one_row():
     assert len(boosted.fit(x, np.ones(600)).feature) == 0
 
 
+def test_split_search_agrees_with_trying_every_split():
+    """One tree of depth 2 against all features and all thresholds of the quantile bins."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 2] > -0.2) ^ (rng.random(300) < 0.1)).astype(int)
+    bins, l2 = 16, 1.0
+    model = boosted.fit(x, y, trees=1, depth=2, bins=bins, l2=l2)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def best(rows):
+        found = (0.0, None)
+        for j in range(x.shape[1]):
+            for t in np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])):
+                low = rows & (x[:, j] <= t)
+                high = rows & ~low
+                if h[low].sum() >= 0.5 and h[high].sum() >= 0.5:
+                    gain = sum(s * g[r].sum() ** 2 / (h[r].sum() + l2) for s, r in ((1, low), (1, high), (-1, rows)))
+                    if gain > found[0] + 1e-9:
+                        found = (gain, (j, t))
+        return found[1]
+
+    everything = np.ones(len(y), bool)
+    j, t = best(everything)
+    nodes = [(everything, (j, t)), (x[:, j] <= t, best(x[:, j] <= t)), (x[:, j] > t, best(x[:, j] > t))]
+    for k, (rows, split) in enumerate(nodes):
+        assert (int(model.feature[0, k]), float(model.threshold[0, k])) == (split[0], float(split[1]))
+    for k, (j, t) in enumerate(s for _, s in nodes[1:]):
+        for side in (0, 1):
+            rows = nodes[k + 1][0] & ((x[:, j] > t) == bool(side))
+            assert np.isclose(model.value[0, 2 * k + side], -0.15 * g[rows].sum() / (h[rows].sum() + l2))
+
+
 def test_classifier_on_labels_held_out(halves):
     docs, train, truth = halves
     kept, dropped = judged(boosted.classify(docs, boosted.train(docs, train)).collect(), truth)

@@ -11,8 +11,8 @@ import numpy as np
 #: Tuples that a queue or a pass holds in memory at once.
 CHUNK = 1 << 16
 NONE = int(np.iinfo(np.int32).max) - 1
-#: Texts up to this length are sorted in memory.
-SMALL = 1 << 18
+#: Texts of up to so many symbols, as many as a pass holds, end the recursion and are sorted in memory.
+SMALL = CHUNK
 
 
 class Spool:
@@ -329,19 +329,21 @@ def direct(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def suffix_array(text: np.ndarray, keys: int, folder: str) -> tuple[Spool, Spool]:
+def suffix_array(text: np.ndarray, keys: int, folder: str, small: int | None = None) -> tuple[Spool, Spool]:
     """Suffixes in descending order, and each one's common prefix with the next smaller; text ends with its only 0.
 
     The starts of ascending runs after descending ones (S*) are sorted by their
     parts up to the next: by induction from any order within a symbol, then named.
     If names repeat, the names' text, in digits of the root of their number, is
     sorted by recursion. From the sorted S* all others are induced, larger ones
-    first by a pass upwards, smaller ones by a pass downwards.
+    first by a pass upwards, smaller ones by a pass downwards. A text of at most
+    small symbols (SMALL by default) is sorted in memory.
     """
+    small = SMALL if small is None else small
     n = len(text)
     kind = np.int32 if n < 1 << 31 else np.int64
     out_s, out_p = Spool(folder, kind), Spool(folder, np.int32)
-    if n <= SMALL:
+    if n <= small:
         order, lcp = direct(np.asarray(text))
         out_s.add(order[::-1])
         out_p.add(lcp[::-1])
@@ -404,7 +406,7 @@ def suffix_array(text: np.ndarray, keys: int, folder: str) -> tuple[Spool, Spool
             v = np.asarray(names[lo : min(lo + CHUNK, m - 1)])
             reduced.add(v if digits == 1 else np.stack([v // base + 1, v % base + 1], 1).ravel())
         reduced.add(np.zeros(1))
-        sa, lcp = suffix_array(reduced.read(), name + 1 if digits == 1 else base + 1, folder)
+        sa, lcp = suffix_array(reduced.read(), name + 1 if digits == 1 else base + 1, folder, small)
         sa_r, lcp_r = sa.read(), lcp.read()
         sorted_star.drop()
         sorted_star, shared_spool = Spool(folder, kind), Spool(folder, np.int32)

@@ -61,40 +61,58 @@ def anchors(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+Columns = list[np.ndarray]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: Callable[[Columns], np.ndarray]) -> Iterator[Columns]:
+    """Columns of sorted batches, cut so that no group lies in two; by() marks the rows that begin a group, after the first."""
+    held: list[Columns] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
+        last = [x[-1:] for x in held[-1]] if held else [x[:0] for x in now]
+        begins = np.flatnonzero(by([np.concatenate(x) for x in zip(last, now)])) + (0 if held else 1)
+        if len(begins):
+            at = int(begins[-1])
+            held.append([x[:at] for x in now])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = [[x[at:] for x in now]]
+        else:
+            held.append(now)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of a partition that occur at two places at least."""
-    got = [[np.asarray(b.column(i)) for i in range(3)] for b in batches]
-    if not got:
-        return
-    g, row, pos = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((pos, row, g))
-    g, row, pos = g[order], row[order], pos[order]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])])
-    g, row, pos = g[new], row[new], pos[new]
-    again = g[1:] == g[:-1]
-    many = np.concatenate([[False], again]) | np.concatenate([again, [False]])
-    g, row, pos = g[many], row[many], pos[many]
-    for lo in range(0, len(g), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (g, row, pos)], names=["g", "row", "pos"])
-
-
-def sorted_rows(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value, row, pos) of a partition by row and pos."""
-    got = [[np.asarray(b.column(i)) for i in range(3)] for b in batches]
-    if not got:
-        return (np.zeros(0, np.int64),) * 3
-    v, row, pos = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((v, pos, row))
-    return v[order], row[order], pos[order]
+    """The anchors that occur at two places at least; rows come by anchor, row and place. Holds a batch, not an anchor's copies."""
+    names, last, told = ["g", "row", "pos"], None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(i)) for i in range(3)]
+        if last is not None:
+            cols = [np.concatenate([[x], y]) for x, y in zip(last, cols)]
+        g, row, pos = cols
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])])
+        g, row, pos = g[new], row[new], pos[new]
+        again = g[1:] == g[:-1]
+        many = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+        if last is not None and told:  # the row that was carried over is out already
+            many[0] = False
+        told = bool(many[-1]) or (told and len(g) == 1)
+        last = g[-1], row[-1], pos[-1]
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (g, row, pos)], names=names)
 
 
 def leaders(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each anchor with the least anchor of the stretch of overlapping contexts that it is in."""
+    """Each anchor with the least anchor of the stretch of overlapping contexts that it is in; rows come by row and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, row, pos = sorted_rows(batches)
-        if len(g):
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] - pos[:-1] > least)]))
+        begins = lambda c: (c[1][1:] != c[1][:-1]) | (c[2][1:] - c[2][:-1] > least)
+        for g, row, pos in whole_groups(batches, begins):
+            first = np.flatnonzero(np.concatenate([[True], begins([g, row, pos])]))
             lead = np.repeat(np.minimum.reduceat(g, first), np.diff(np.concatenate([first, [len(g)]])))
             pairs = np.unique(np.stack([g, lead]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["g", "lead"])
@@ -103,24 +121,19 @@ def leaders(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def stretches(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per row and shard, the word ranges that hold every window of least words with one of the shard's anchors."""
+    """Per row and shard, the word ranges that hold every window of least words with one of the shard's anchors; rows come by row, shard and place."""
     k = min(GRAM, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(b.column(i)) for i in range(3)] for b in batches]
-        if not got:
-            return
-        shard, row, pos = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((pos, shard, row))
-        shard, row, pos = shard[order], row[order], pos[order]
-        lo, hi = np.maximum(pos - (least - k), 0), pos + least
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1])])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(row)]]) - 1
-        rows = np.flatnonzero(np.concatenate([[True], row[first][1:] != row[first][:-1]]))
-        ends = np.concatenate([rows, [len(first)]])
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (shard[first], lo[first], hi[last])]
-        yield pa.RecordBatch.from_arrays([pa.array(row[first][rows]), *lists], names=["row", "shard", "lo", "hi"])
+        for shard, row, pos in whole_groups(batches, lambda c: c[1][1:] != c[1][:-1]):
+            lo, hi = np.maximum(pos - (least - k), 0), pos + least
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1])])
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(row)]]) - 1
+            rows = np.flatnonzero(np.concatenate([[True], row[first][1:] != row[first][:-1]]))
+            ends = np.concatenate([rows, [len(first)]])
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (shard[first], lo[first], hi[last])]
+            yield pa.RecordBatch.from_arrays([pa.array(row[first][rows]), *lists], names=["row", "shard", "lo", "hi"])
 
     return run
 
@@ -217,7 +230,7 @@ def copies(owner: np.ndarray, n: int, place: tuple, folder: str) -> tuple[np.nda
     return times, lead, begin, by_owner
 
 
-def passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, least: int, folder: str) -> Iterator[tuple]:
+def passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, least: int, folder: str, small: int | None = None) -> Iterator[tuple]:
     """Repeated passages of at least `least` words among pieces.
 
     words has the distinct pieces one after another, size their words; owner tells
@@ -230,12 +243,12 @@ def passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, doc: np.nda
     """
     own = scratch(folder, "passages")
     try:
-        yield from _passages(words, size, owner, (doc, row, at), least, own)
+        yield from _passages(words, size, owner, (doc, row, at), least, own, small)
     finally:
         shutil.rmtree(own, ignore_errors=True)
 
 
-def _passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, place: tuple, least: int, folder: str) -> Iterator[tuple]:
+def _passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, place: tuple, least: int, folder: str, small: int | None) -> Iterator[tuple]:
     doc, row, at = place
     begin = summed(size, folder)
     spool, keys, digits = symbols(words, begin, folder)
@@ -244,7 +257,7 @@ def _passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, place: tup
         part = begin[lo : min(lo + CHUNK, len(size))]
         sep.add((part + np.arange(lo, lo + len(part))) * digits)
     sep = sep.read()
-    suffixes, shared = suffix_array(spool.read(), keys, folder)
+    suffixes, shared = suffix_array(spool.read(), keys, folder, small)
     spool.drop()
     times, lead, copy, by_owner = copies(owner, len(size), place, folder)
 
@@ -331,7 +344,7 @@ def _passages(words: np.ndarray, size: np.ndarray, owner: np.ndarray, place: tup
             yield doc[c], row[c], first_doc[run], ~(same[run] & (c == lead[u])), at[c] + start[run], at[c] + stop[run]
 
 
-def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def sorter(least: int, folder: str, small: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Builds each shard's suffix array in files of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +356,7 @@ def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
             held: dict = {}
 
             def finish() -> Iterator[pa.RecordBatch]:
-                for cols in passages(*(f.read() for f in held["files"].values()), least, own):
+                for cols in passages(*(f.read() for f in held["files"].values()), least, own, small):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
                 for f in held["files"].values():
                     f.drop()
@@ -388,21 +401,20 @@ def sorter(least: int, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins overlapping spans of the same row, first document and kind from different shards."""
-    got = [[np.asarray(b.column(i)) for i in range(6)] for b in batches]
-    if not got:
-        return
-    doc, row, first_doc, remove, start, stop = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((start, remove, first_doc, row, doc))
-    doc, row, first_doc, remove, start, stop = (x[order] for x in (doc, row, first_doc, remove, start, stop))
-    block = np.concatenate([[True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (first_doc[1:] != first_doc[:-1]) | (remove[1:] != remove[:-1])])
-    number = np.cumsum(block)
-    reach = np.maximum.accumulate(stop + number * (1 << 40)) - number * (1 << 40)  # furthest end so far in the block
-    new = block | np.concatenate([[True], start[1:] > reach[:-1]])
-    lo = np.flatnonzero(new)
-    hi = np.concatenate([lo[1:], [len(doc)]]) - 1
-    cols = doc[lo], row[lo], first_doc[lo], remove[lo], start[lo], reach[hi]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[x.split()[0] for x in SPANS.split(", ")])
+    """Joins overlapping spans of the same row, first document and kind; rows come by these and start."""
+
+    def changes(c: Columns) -> np.ndarray:
+        return np.logical_or.reduce([x[1:] != x[:-1] for x in c[:4]])
+
+    for doc, row, first_doc, remove, start, stop in whole_groups(batches, lambda c: (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])):
+        block = np.concatenate([[True], changes([doc, row, first_doc, remove])])
+        number = np.cumsum(block)
+        reach = np.maximum.accumulate(stop + number * (1 << 40)) - number * (1 << 40)  # furthest end so far in the block
+        new = block | np.concatenate([[True], start[1:] > reach[:-1]])
+        lo = np.flatnonzero(new)
+        hi = np.concatenate([lo[1:], [len(doc)]]) - 1
+        cols = doc[lo], row[lo], first_doc[lo], remove[lo], start[lo], reach[hi]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[x.split()[0] for x in SPANS.split(", ")])
 
 
 def shared_folder(spark: SparkSession, folder: str | None) -> str:
@@ -416,7 +428,7 @@ def shared_folder(spark: SparkSession, folder: str | None) -> str:
     return os.path.join(path, "driftspark-suffix")
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 << 21, broadcast_rows: int = 2_000_000, folder: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 << 21, broadcast_rows: int = 2_000_000, folder: str | None = None, most_tasks: int = 20_000, small: int | None = None, anchored: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Passages of at least `least` words that occur more than once: one row a document and passage.
 
     Columns: doc_id; start, stop (words from, and up to but not with, counted from
@@ -430,15 +442,19 @@ def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 <<
     occurrences of an anchor meet, anchors of one stretch together if possible. A
     shard's distinct stretches become a text in files of the shared folder, and its suffix array
     with common prefixes is built there by external induced sorting (suffix.py).
-    Stretches, symbols, windows and their groups are in files too, so a shard may be much larger than memory. Neighbouring suffixes that share
-    `least` words are a repeat. Shards have about shard_words words; an anchor's
-    copies are never divided.
+    Stretches, symbols, windows and their groups are in files too, so a shard may
+    be much larger than memory. Neighbouring suffixes that share `least` words are a
+    repeat. Shards have about shard_words words; an anchor's copies are never
+    divided. Beyond most_tasks shards a task sorts several, one after another. What
+    comes before and after the shards is sorted by Spark and passes in batches; at
+    most a document's anchors or spans are held at once. Without anchored, whole
+    texts go to one shard instead, with the same result. small is suffix_array's.
 
     Word hashes of 32 bits tell words apart (64 for anchors). The list of
     stretches is broadcast while there are at most broadcast_rows (counted first).
 
     Null texts, texts of fewer than `least` words and rows without an id are in no
-    passage. Wholly repeated rows count once; rows of one id with different texts
+    passage; ids are whole numbers. Wholly repeated rows count once; rows of one id with different texts
     count each, with rows of their own. Ties of first occurrences: least id, then
     text hash, then place. Extra columns are not read. An empty table gives an empty table.
     """
@@ -447,17 +463,23 @@ def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 <<
     own = shared_folder(spark, folder)
     rows = docs.where(col(text).isNotNull() & col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(doc_id), col(text)).alias("row"), col(text).alias("text"))
     triples = "g long, row long, pos long"
-    found = rows.select("row", "text").mapInArrow(anchors(least), triples)
-    found = cut(found.repartition(parts, "g").mapInArrow(repeated, triples))
-    shards = max(1, -(-found.count() * 14 // shard_words))
-    leads = found.repartition(parts, "row").mapInArrow(leaders(least), "g long, lead long").groupBy("g").agg(F.min("lead").alias("lead"))
-    placed = found.join(leads, "g").select(F.pmod(F.xxhash64("lead"), F.lit(shards)).alias("shard"), "row", "pos")
-    ranges = cut(placed.repartition(parts, "row").mapInArrow(stretches(least), "row long, shard array<long>, lo array<long>, hi array<long>"))
-    if ranges.count() <= broadcast_rows:
-        ranges = F.broadcast(ranges)
-    held = rows.join(ranges, "row").select("doc_id", "row", "text", "shard", "lo", "hi")
+    if anchored:
+        found = rows.select("row", "text").mapInArrow(anchors(least), triples)
+        found = cut(found.repartition(parts, "g").sortWithinPartitions("g", "row", "pos").mapInArrow(repeated, triples))
+        shards = max(1, -(-found.count() * 14 // shard_words))
+        leads = found.repartition(parts, "row").sortWithinPartitions("row", "pos").mapInArrow(leaders(least), "g long, lead long").groupBy("g").agg(F.min("lead").alias("lead"))
+        placed = found.join(leads, "g").select(F.pmod(F.xxhash64("lead"), F.lit(shards)).alias("shard"), "row", "pos")
+        ranges = placed.repartition(parts, "row").sortWithinPartitions("row", "shard", "pos").mapInArrow(stretches(least), "row long, shard array<long>, lo array<long>, hi array<long>")
+        ranges = cut(ranges)
+        if ranges.count() <= broadcast_rows:
+            ranges = F.broadcast(ranges)
+        held = rows.join(ranges, "row").select("doc_id", "row", "text", "shard", "lo", "hi")
+    else:
+        shards, one = 1, lambda v: F.array(F.lit(v).cast("long"))
+        held = rows.select("doc_id", "row", "text", one(0).alias("shard"), one(0).alias("lo"), one(1 << 40).alias("hi"))
     texts = held.mapInArrow(pieces, "shard long, doc_id long, row long, lo long, words binary")
-    ordered = texts.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "row", "lo")
-    repeats = ordered.mapInArrow(sorter(least, own), SPANS)
-    spans_ = repeats.repartition(parts, "doc_id").mapInArrow(merged, SPANS)
+    tasks = min(shards, most_tasks)
+    ordered = texts.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "row", "lo")
+    repeats = ordered.mapInArrow(sorter(least, own, small), SPANS)
+    spans_ = repeats.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "row", "first_doc", "remove", "start").mapInArrow(merged, SPANS)
     return spans_.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc", "remove")

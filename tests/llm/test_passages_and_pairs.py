@@ -71,20 +71,57 @@ def got_passages(df):
     return sorted((r.doc_id, r.start, r.stop, r.first_doc, r.remove) for r in df.collect())
 
 
-@pytest.mark.parametrize("least,words_a_shard,broadcast", [(50, 1 << 21, 2_000_000), (20, 3000, 0)])
-def test_passages_agree_with_brute_force(spark, sf, least, words_a_shard, broadcast):
+@pytest.mark.parametrize(
+    "least,options",
+    [(50, {"small": 4}), (20, {"shard_words": 3000, "broadcast_rows": 0, "most_tasks": 3}), (50, {"anchored": False, "small": 1000})],
+)
+def test_passages_agree_with_brute_force(spark, sf, least, options):
+    """By external sorting all the way down, over many shards a task, and without anchors."""
     docs = load(spark, sf, "documents")
     want = brute_passages(docs.collect(), least)
     assert want
-    assert got_passages(suffix_dedup.repeated_passages(docs, least, words_a_shard, broadcast)) == want
+    assert got_passages(suffix_dedup.repeated_passages(docs, least, **options)) == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 17, 10_000])
+def test_passes_do_not_depend_on_batches(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+
+    def batches(rows, names):
+        for lo in range(0, len(rows), size):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[lo : lo + size])], names=names)
+
+    def back(out):
+        return [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    triples = sorted(zip(rng.integers(0, 40, 150).tolist(), rng.integers(0, 6, 150).tolist(), rng.integers(0, 4, 150).tolist()))
+    by = {}
+    for g, row, pos in triples:
+        by.setdefault(g, set()).add((row, pos))
+    assert back(suffix_dedup.repeated(batches(triples, ["g", "row", "pos"]))) == sorted((g, *x) for g, xs in by.items() if len(xs) > 1 for x in xs)
+    placed = sorted({(int(r), int(p)): int(g) for r, p, g in zip(rng.integers(0, 9, 150), rng.integers(0, 4000, 150), rng.integers(0, 60, 150))}.items())
+    rows = [(g, r, p) for (r, p), g in placed]
+    whole = back(suffix_dedup.leaders(50)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["g", "row", "pos"])])))
+    assert set(back(suffix_dedup.leaders(50)(batches(rows, ["g", "row", "pos"])))) == set(whole)
+    shards = sorted((g % 3, r, p) for g, r, p in rows)
+    shards.sort(key=lambda x: (x[1], x[0], x[2]))
+    whole = back(suffix_dedup.stretches(50)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*shards)], names=["shard", "row", "pos"])])))
+    assert back(suffix_dedup.stretches(50)(batches(shards, ["shard", "row", "pos"]))) == whole and len(whole) == len({r for _, r, _ in shards})
+    spans = sorted((int(d), int(d) + 100, int(f), bool(k), int(a), int(a + n)) for d, f, k, a, n in zip(rng.integers(0, 5, 200), rng.integers(0, 3, 200), rng.integers(0, 2, 200), rng.integers(0, 900, 200), rng.integers(50, 90, 200)))
+    want = []
+    for s in spans:
+        if want and want[-1][:4] == list(s[:4]) and s[4] <= want[-1][5]:
+            want[-1][5] = max(want[-1][5], s[5])
+        else:
+            want.append(list(s))
+    assert back(suffix_dedup.merged(batches(spans, [x.split()[0] for x in suffix_dedup.SPANS.split(", ")]))) == [tuple(x) for x in want]
 
 
 def test_passages_edge_cases(messy, empty):
-    docs = messy.where("doc_id <> 9")
-    want = brute_passages(docs.collect(), 50)
-    got = got_passages(suffix_dedup.repeated_passages(docs))
-    assert {(d, f, r) for d, _, _, f, r in got} == {(d, f, r) for d, _, _, f, r in want}
-    assert got == want
+    want = brute_passages(messy.collect(), 50)
+    assert got_passages(suffix_dedup.repeated_passages(messy)) == want
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 

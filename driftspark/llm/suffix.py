@@ -38,28 +38,39 @@ class Spool:
         os.unlink(self.path)
 
 
+ZEROS = np.zeros(CHUNK, np.int32)
+ZEROS.flags.writeable = False
+
+
+def zeros(n: int) -> np.ndarray:
+    """n zeros, for reading only, that take no room."""
+    return ZEROS[:n] if n <= CHUNK else np.broadcast_to(np.int32(0), (n,))
+
+
 class BucketQueue:
     """A priority queue of tuples (suffix, common prefix) keyed by symbol; equal keys leave in order of arrival.
 
     New tuples are kept as they come; every CHUNK / 4 of them are sorted into a run,
-    and every 16 runs of a size into a larger one, which goes to disk.
+    and every 16 runs of a size into a larger one, which goes to disk. Without
+    common, prefixes are not kept and leave as zeros.
     """
 
-    def __init__(self, folder: str, keys: int, kind) -> None:
-        self.folder, self.keys, self.kind = folder, keys, kind
+    def __init__(self, folder: str, keys: int, kind, common: bool = True) -> None:
+        self.folder, self.keys, self.kind, self.common = folder, keys, kind, common
         self.recent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
         self.levels: list[list[tuple]] = []
         self.files: list[Spool] = []
 
-    def push(self, key: np.ndarray, suffix: np.ndarray, lcp: np.ndarray) -> None:
-        self.recent.append((key.astype(np.uint16) if self.keys <= 65536 else key, suffix, lcp))
+    def push(self, key: np.ndarray, suffix: np.ndarray, lcp: np.ndarray | None) -> None:
+        self.recent.append((key.astype(np.uint16) if self.keys <= 65536 else key, suffix, lcp if self.common else zeros(len(key))))
         self.held += len(key)
         if self.held >= CHUNK // 4:
-            key, suffix, lcp = (np.concatenate(x) for x in zip(*self.recent))
-            self.recent, self.held = [], 0
+            key, suffix = (np.concatenate([r[i] for r in self.recent]) for i in range(2))
             order = np.argsort(key, kind="stable")
-            self._add(0, (np.searchsorted(key[order], np.arange(self.keys + 1)), suffix[order], lcp[order], None))
+            lcp = np.concatenate([r[2] for r in self.recent])[order] if self.common else zeros(len(key))
+            self.recent, self.held = [], 0
+            self._add(0, (np.searchsorted(key[order], np.arange(self.keys + 1)), suffix[order], lcp, None))
 
     def _add(self, level: int, run: tuple) -> None:
         if len(self.levels) == level:
@@ -70,7 +81,7 @@ class BucketQueue:
             sizes = np.stack([np.diff(r[0]) for r in runs])
             starts = np.concatenate([[0], np.cumsum(sizes.sum(0))])
             merged = []
-            for part, kind in ((1, self.kind), (2, np.int32)):
+            for part, kind in ((1, self.kind), (2, np.int32))[: 1 + self.common]:
                 spool = Spool(self.folder, kind)
                 lo = 0
                 while lo < self.keys:  # as many keys at once as fit in about 16 chunks
@@ -85,11 +96,16 @@ class BucketQueue:
                     old.drop()
                     self.files.remove(old)
             self.files += merged
-            self._add(level + 1, (starts, merged[0].read(), merged[1].read(), merged))
+            self._add(level + 1, (starts, merged[0].read(), merged[1].read() if self.common else zeros(int(starts[-1])), merged))
 
     def pop(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All tuples of a key, in pieces; later pushes must have other keys."""
-        parts = [(s[b[key] : b[key + 1]], p[b[key] : b[key + 1]]) for level in reversed(self.levels) for b, s, p, _ in level if b[key] < b[key + 1]]
+        parts = []
+        for level in reversed(self.levels):
+            for b, s, p, _ in level:
+                lo, hi = b.item(key), b.item(key + 1)
+                if lo < hi:
+                    parts.append((s[lo:hi], p[lo:hi]))
         if self.recent:
             self.recent = [tuple(np.concatenate(x) for x in zip(*self.recent))]
             at = np.flatnonzero(self.recent[0][0] == key)
@@ -110,19 +126,18 @@ class Inducer:
     than the least common prefix passed between the two that induced them.
     """
 
-    def __init__(self, text: np.ndarray, queue: BucketQueue, keys: int) -> None:
-        self.text, self.queue = text, queue
+    def __init__(self, queue: BucketQueue, keys: int) -> None:
+        self.queue = queue
         self.pending = np.full(keys, -1, np.int32)
 
-    def feed(self, suffix: np.ndarray, lcp: np.ndarray | None, c: int, down: bool) -> None:
-        """Takes suffixes of bucket c, in order; delivers predecessors with symbols below c (down) or above."""
-        before = suffix - 1
-        symbol = self.text[before]  # -1 is the sentinel, which is delivered to nobody
-        at = ((symbol < c) & (before >= 0) if down else symbol > c).nonzero()[0]
-        s = symbol[at].astype(np.int64)
-        new = np.zeros(len(at), np.int32) if lcp is None else self._prefixes(lcp, at, s)
+    def feed(self, suffix: np.ndarray, lcp: np.ndarray | None, symbol: np.ndarray, c: int, down: bool) -> None:
+        """Takes suffixes of bucket c, in order, with the symbols before them; delivers predecessors with symbols below c (down) or above."""
+        # the symbol before the whole text is the sentinel, which is delivered to nobody
+        at = ((symbol < c) & (symbol > 0) if down else symbol > c).nonzero()[0]
+        s = symbol[at]
+        new = None if lcp is None else self._prefixes(lcp, at, s)
         if len(s):
-            self.queue.push(s, before[at], new)
+            self.queue.push(s, suffix[at] - 1, new)
 
     def _prefixes(self, lcp: np.ndarray, at: np.ndarray, s: np.ndarray) -> np.ndarray:
         if not len(lcp):
@@ -160,22 +175,24 @@ class Inducer:
         return new + 1
 
 
-def returning(text: np.ndarray, suffix: np.ndarray, lcp: np.ndarray | None, c: int, gap: int) -> tuple[np.ndarray, np.ndarray, int]:
+Piece = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def returning(suffix: np.ndarray, lcp: np.ndarray, symbol: np.ndarray, common: bool, c: int, gap: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Predecessors of bucket c's suffixes that are in c too, their common prefixes, and the least one passed since the last."""
-    before = suffix - 1
-    at = ((text[before] == c) & (before >= 0)).nonzero()[0]
-    if lcp is None:
-        return before[at], np.zeros(len(at), np.int32), gap
+    at = (symbol == c).nonzero()[0] if c else symbol[:0].astype(np.int64)
+    if not common:
+        return suffix[at] - 1, zeros(len(at)), gap
     if not len(at):
-        return before[at], lcp[:0], min(gap, int(lcp.min())) if len(lcp) else gap
+        return suffix[:0], lcp[:0], min(gap, int(lcp.min())) if len(lcp) else gap
     last = int(at[-1])
     new = np.minimum.reduceat(lcp[: last + 1], np.concatenate([[0], at[:-1] + 1])) + 1
     new[0] = min(int(new[0]), gap + 1)
-    return before[at], new, int(lcp[last + 1 :].min()) if last + 1 < len(lcp) else NONE
+    return suffix[at] - 1, new, int(lcp[last + 1 :].min()) if last + 1 < len(lcp) else NONE
 
 
-def bucket(text: np.ndarray, pieces, common: bool, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All suffixes of a bucket in order: the popped ones, then round by round their predecessors in the same bucket."""
+def bucket(text: np.ndarray, pieces, common: bool, c: int) -> Iterator[Piece]:
+    """All suffixes of a bucket in order, with common prefixes and the symbols before them: the popped ones, then round by round their predecessors in the same bucket."""
     todo, fresh, gap = list(pieces), True, NONE
     while todo:
         again, out = [], []
@@ -186,21 +203,23 @@ def bucket(text: np.ndarray, pieces, common: bool, c: int) -> Iterator[tuple[np.
             if fresh:
                 lcp = lcp.copy()
                 lcp[0], fresh = 0, False
-            q, new, gap = returning(text, suffix, lcp if common else None, c, gap)
+            symbol = text[suffix - 1]
+            q, new, gap = returning(suffix, lcp, symbol, common, c, gap)
             if len(q):
                 again.append((q, new))
             if small:
-                out.append((suffix, lcp))
+                out.append((suffix, lcp, symbol))
             else:
-                yield suffix, lcp
+                yield suffix, lcp, symbol
         if out:
             while again and sum(len(x[0]) for x in out) <= CHUNK:
                 more = []
                 for suffix, lcp in again:
-                    q, new, gap = returning(text, suffix, lcp if common else None, c, gap)
+                    symbol = text[suffix - 1]
+                    out.append((suffix, lcp, symbol))
+                    q, new, gap = returning(suffix, lcp, symbol, common, c, gap)
                     if len(q):
                         more.append((q, new))
-                out += again
                 again = more
             yield (out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out)))
         todo = again
@@ -238,55 +257,57 @@ def induce(text: np.ndarray, keys: int, seeds, folder: str, common: bool, wanted
     """Sorts all suffixes from the ordered seeds.
 
     seeds(c) yields pieces (suffix, common prefix with the one before) of bucket c.
-    wanted(c, suffixes, common prefixes with the larger neighbour, rising) gets all
-    suffixes in descending order: of each bucket first those followed by a larger one.
+    wanted(c, suffixes, common prefixes with the larger neighbour, symbols before
+    them, rising) gets all suffixes in descending order: of each bucket first those followed by a larger one.
     """
     kind = np.int32 if len(text) < 1 << 31 else np.int64
-    queue = BucketQueue(folder, keys, kind)
-    inducer = Inducer(text, queue, keys)
-    l_suffix, l_lcp = Spool(folder, kind), Spool(folder, np.int32)
+    queue = BucketQueue(folder, keys, kind, common)
+    inducer = Inducer(queue, keys)
+    l_suffix, l_lcp, l_symbol = Spool(folder, kind), Spool(folder, np.int32), Spool(folder, text.dtype)
     starts = np.zeros(keys + 1, np.int64)
 
-    def feed(parts: list, c: int, down: bool) -> None:
+    def feed(parts: list[Piece], c: int, down: bool) -> None:
         if parts:
-            suffix, lcp = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts))
-            inducer.feed(suffix, lcp if common else None, c, down)
+            suffix, lcp, symbol = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts))
+            inducer.feed(suffix, lcp if common else None, symbol, c, down)
             parts.clear()
 
     for c in range(keys):
         starts[c] = l_suffix.n
         last, held = -1, []
-        for suffix, lcp in bucket(text, queue.pop(c), common, c):
-            l_suffix.add(suffix)
-            l_lcp.add(lcp)
-            last = int(suffix[-1])
+        for piece in bucket(text, queue.pop(c), common, c):
+            l_suffix.add(piece[0])
+            if common:
+                l_lcp.add(piece[1])
+            l_symbol.add(piece[2])
+            last = int(piece[0][-1])
             feed(held, c, False)
-            held.append((suffix, lcp))
+            held.append(piece)
         for k, (suffix, lcp) in enumerate(seeds(c)):
             if common and k == 0:
                 lcp = lcp.copy()
                 lcp[0] = min(run_length(text, last), run_length(text, int(suffix[0]))) if last >= 0 else 0
             if k or sum(len(x[0]) for x in held) + len(suffix) > CHUNK:
                 feed(held, c, False)
-            held.append((suffix, lcp))
+            held.append((suffix, lcp, text[suffix - 1]))
         feed(held, c, False)
     starts[keys] = l_suffix.n
     queue.drop()
-    l_s, l_p = l_suffix.read(), l_lcp.read()
-    queue = BucketQueue(folder, keys, kind)
-    inducer = Inducer(text, queue, keys)
+    l_s, l_p, l_b = l_suffix.read(), l_lcp.read(), l_symbol.read()
+    queue = BucketQueue(folder, keys, kind, common)
+    inducer = Inducer(queue, keys)
     for c in reversed(range(keys)):
         last, held = -1, []
         # the sentinel has no successor that could induce it
         pieces = queue.pop(c) if c else [(np.array([len(text) - 1], kind), np.zeros(1, np.int32))]
-        for suffix, lcp in bucket(text, pieces, common, c):
-            wanted(c, suffix, lcp, True)
-            last = int(suffix[-1])
+        for piece in bucket(text, pieces, common, c):
+            wanted(c, *piece, True)
+            last = int(piece[0][-1])
             feed(held, c, True)
-            held.append((suffix, lcp))
+            held.append(piece)
         for hi in range(starts[c + 1], starts[c], -CHUNK):
             lo = max(starts[c], hi - CHUNK)
-            suffix = l_s[lo:hi][::-1]
+            suffix, symbol = l_s[lo:hi][::-1], l_b[lo:hi][::-1]
             if common:
                 after = l_p[lo + 1 : hi + 1][::-1].copy()
                 if len(after) < len(suffix):
@@ -294,15 +315,15 @@ def induce(text: np.ndarray, keys: int, seeds, folder: str, common: bool, wanted
                 if hi == starts[c + 1]:
                     after[0] = min(run_length(text, int(suffix[0])), run_length(text, last)) if last >= 0 else 0
             else:
-                after = np.zeros(len(suffix), np.int32)
-            wanted(c, suffix, after, False)
+                after = zeros(len(suffix))
+            wanted(c, suffix, after, symbol, False)
             if sum(len(x[0]) for x in held) + len(suffix) > CHUNK:
                 feed(held, c, True)
-            held.append((suffix, after))
+            held.append((suffix, after, symbol))
         feed(held, c, True)
     queue.drop()
-    l_suffix.drop()
-    l_lcp.drop()
+    for f in (l_suffix, l_lcp, l_symbol):
+        f.drop()
 
 
 def direct(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,15 +387,15 @@ def suffix_array(text: np.ndarray, keys: int, folder: str, small: int | None = N
     runs.drop()
     m = len(places)
 
-    first = BucketQueue(folder, keys, kind)
+    first = BucketQueue(folder, keys, kind, False)
     for lo in range(0, m, CHUNK):
         p = np.asarray(places[lo : lo + CHUNK])
-        first.push(np.asarray(text[p]).astype(np.int64), p, np.zeros(len(p), np.int32))
+        first.push(np.asarray(text[p]), p, None)
     sorted_star = Spool(folder, kind)
 
-    def is_star(c: int, suffix: np.ndarray, _, rising: bool) -> None:
+    def is_star(c: int, suffix: np.ndarray, _, symbol: np.ndarray, rising: bool) -> None:
         if rising:
-            sorted_star.add(suffix[np.asarray(text[suffix - 1]) > c])
+            sorted_star.add(suffix[symbol > c])
 
     induce(text, keys, first.pop, folder, False, is_star)
     first.drop()
@@ -462,7 +483,7 @@ def suffix_array(text: np.ndarray, keys: int, folder: str, small: int | None = N
 
     held: list = [None]
 
-    def collect(c: int, suffix: np.ndarray, lcp: np.ndarray, _) -> None:
+    def collect(c: int, suffix: np.ndarray, lcp: np.ndarray, *_) -> None:
         # lcp[i] is shared with the next larger one, so it belongs to that one's row
         if held[0] is not None:
             out_p.add(lcp[:1])

@@ -1,132 +1,179 @@
 """Exact ranking metrics, thresholds and confusion counts.
 
-All curves start from counts by distinct score, made by one combinable
-aggregation; what needs their order uses bucketed running sums (ranking.running),
-so no task sees all scores.
+All of them come from one table of counts by distinct score, made by a combinable
+aggregation and cut from its lineage: the scored rows are read once, whatever is
+asked. What needs the order of the scores uses running counts within ranges of
+scores, so no task sees more than about a range's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranking import running
+from ..lineage import cut
 
-#: Scores with the same value of floor(score * this) share a bucket.
-BUCKETS = 1024
+#: Distinct scores of a range.
+RANGE = 250_000
+
+
+@dataclass(frozen=True)
+class Curve:
+    """Counts by distinct score: threshold; p, n there; tp, fp at or above it; next_p, next_n at the next lower one; top, whether it is the highest."""
+
+    points: DataFrame
+    pos: int
+    neg: int
 
 
 def valid(rows: DataFrame, label: str, score: str) -> DataFrame:
     return rows.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin(0, 1))
 
 
-def curve(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """By distinct score: threshold, p and n there, and tp and fp at or above it."""
-    groups = valid(rows, label, score).groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
-    sums = running(groups, -F.floor(F.col("threshold") * BUCKETS), [F.col("threshold").desc()], ["p", "n"])
-    return sums.withColumnsRenamed({"p_sum": "tp", "n_sum": "fp"})
+def curve(rows: DataFrame | Curve, label: str = "label", score: str = "score", size: int = RANGE) -> Curve:
+    """The counts of labelled rows; a Curve is returned as it is. Null and NaN scores and labels but 0 and 1 are left out.
 
+    Up to size distinct scores are one range. More are cut at sampled bounds into
+    ranges that are even whatever the scores' distribution; a range's first
+    counts and sums are all that leaves it.
+    """
+    if isinstance(rows, Curve):
+        return rows
+    counts = cut(valid(rows, label, score).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")))
+    parts = max(1, -(-counts.count() // size))
+    if parts > 1:
+        counts = cut(counts.repartitionByRange(parts, F.col("threshold").desc()).withColumn("_b", F.spark_partition_id()))
+    else:
+        counts = counts.withColumn("_b", F.lit(0))
+    heads = counts.groupBy("_b").agg(F.sum("p"), F.sum("n"), F.max_by(F.struct("p", "n"), "threshold")).orderBy("_b").collect()
+    before, after, tp, fp = {}, {}, 0, 0
+    for b, p, n, head in heads:
+        before[b] = (tp, fp)
+        tp, fp = tp + p, fp + n
+    for (b, *_), (_, _, _, head) in zip(heads, heads[1:]):
+        after[b] = (head["p"], head["n"])
 
-def totals(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    r = valid(rows, label, score)
-    return r.agg(F.coalesce(F.sum((F.col(label) == 1).cast("long")), F.lit(0)).alias("pos"), F.coalesce(F.sum((F.col(label) == 0).cast("long")), F.lit(0)).alias("neg"))
+    def entry(table: dict, i: int) -> Column:
+        known = [x for b, v in table.items() for x in (F.lit(b), F.lit(v[i]).cast("long"))]
+        return F.element_at(F.create_map(*known), F.col("_b")) if known else F.lit(None).cast("long")
+
+    order = F.col("threshold").desc()
+    w = Window.partitionBy("_b").orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("_b") == F.lit(heads[0][0] if heads else 0)
+    points = counts.select(
+        "threshold", "p", "n", (entry(before, 0) + F.sum("p").over(upto)).alias("tp"), (entry(before, 1) + F.sum("n").over(upto)).alias("fp"),
+        F.coalesce(F.lead("p").over(w), entry(after, 0)).alias("next_p"), F.coalesce(F.lead("n").over(w), entry(after, 1)).alias("next_n"), (first & (F.row_number().over(w) == 1)).alias("top"),
+    )
+    return Curve(points, tp, fp)
+
+
+def share(a: Column, total: int) -> Column:
+    return a / F.lit(total) if total else F.lit(None).cast("double")
 
 
-def share(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b)
+def rates(c: Curve, points: DataFrame) -> DataFrame:
+    return points.select("threshold", "tp", "fp", share(F.col("tp"), c.pos).alias("tpr"), share(F.col("fp"), c.neg).alias("fpr"))
 
 
-def roc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc(rows: DataFrame | Curve, label: str = "label", score: str = "score") -> DataFrame:
     """The whole curve: threshold, tpr, fpr (without the point of an infinite threshold)."""
-    return curve(rows, label, score).crossJoin(F.broadcast(totals(rows, label, score))).select("threshold", "tp", "fp", share(F.col("tp"), F.col("pos")).alias("tpr"), share(F.col("fp"), F.col("neg")).alias("fpr"))
+    c = curve(rows, label, score)
+    return rates(c, c.points)
 
 
-def pruned_roc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def pruned_roc(rows: DataFrame | Curve, label: str = "label", score: str = "score") -> DataFrame:
     """roc() without inner points of straight stretches.
 
     A point goes if the counts at its score equal those at the next lower one, as
-    then the curve goes on the same way; the first and last points stay. A
-    bucket's last point looks at the first of the next bucket that has any.
+    then the curve goes on the same way; the first and last points stay.
     """
-    c = curve(rows, label, score).withColumn("_b", -F.floor(F.col("threshold") * BUCKETS))
-    heads = c.groupBy("_b").agg(F.max_by(F.struct("p", "n"), "threshold").alias("_head"))
-    order = Window.orderBy("_b")
-    heads = heads.select("_b", F.lead("_head").over(order).alias("_next"), (F.row_number().over(order) == 1).alias("_top"))
-    inner = Window.partitionBy("_b").orderBy(F.col("threshold").desc())
-    c = c.join(heads, "_b").withColumns({"_after": F.coalesce(F.lead(F.struct("p", "n")).over(inner), F.col("_next")), "_first": F.col("_top") & (F.row_number().over(inner) == 1)})
-    keep = F.col("_first") | F.col("_after").isNull() | (F.col("_after.p") != F.col("p")) | (F.col("_after.n") != F.col("n"))
-    t = totals(rows, label, score)
-    return c.where(keep).crossJoin(F.broadcast(t)).select("threshold", "tp", "fp", share(F.col("tp"), F.col("pos")).alias("tpr"), share(F.col("fp"), F.col("neg")).alias("fpr"))
-
-
-def ranking_metrics(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    c = curve(rows, label, score)
+    return rates(c, c.points.where(F.col("top") | F.col("next_p").isNull() | (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))))
+
+
+def ranking_metrics(rows: DataFrame | Curve, label: str = "label", score: str = "score") -> DataFrame:
     """One row: auroc (ties count half; null with one class only) and auprc (steps, no interpolation)."""
-    c = curve(rows, label, score).crossJoin(F.broadcast(totals(rows, label, score)))
+    c = curve(rows, label, score)
     wins = F.sum((F.col("n") * (F.col("tp") - F.col("p") / F.lit(2))).cast("double"))
     steps = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    pos, neg = F.max("pos"), F.max("neg")
-    return c.agg(F.when((pos > 0) & (neg > 0), wins / (pos * neg)).alias("auroc"), F.when(pos > 0, steps / pos).alias("auprc"))
+    none = F.lit(None).cast("double")
+    return c.points.agg((wins / F.lit(float(c.pos) * c.neg) if c.pos and c.neg else none).alias("auroc"), (steps / F.lit(c.pos) if c.pos else none).alias("auprc"))
 
 
-def fpr_at_tpr(rows: DataFrame, target: float = 0.95, label: str = "label", score: str = "score") -> DataFrame:
+def fpr_at_tpr(rows: DataFrame | Curve, target: float = 0.95, label: str = "label", score: str = "score") -> DataFrame:
     """One row: fpr at the first point of the pruned curve with tpr of at least target; 1 if there is none."""
     hit = pruned_roc(rows, label, score).where(F.col("tpr") >= target)
     return hit.agg(F.coalesce(F.max_by("fpr", "threshold"), F.lit(1.0)).alias("fpr_at_tpr"))
 
 
-def choose_threshold(rows: DataFrame, target_tpr: float = 0.95, max_fpr: float | None = None, label: str = "label", score: str = "score") -> DataFrame:
-    """One row: the threshold with the best tpr within max_fpr (lowest such); without max_fpr the least fpr that reaches target_tpr (highest such).
+def choose_threshold(rows: DataFrame | Curve, target_tpr: float = 0.95, max_fpr: float | None = None, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: the threshold with the best tpr within max_fpr (lowest such, even if that tpr is 0).
 
-    Infinite if only flagging nothing keeps to max_fpr; 0.5 if nothing reaches target_tpr.
+    Infinite if only flagging nothing keeps to max_fpr. Without max_fpr, or if there
+    is no negative to tell an fpr by, the least fpr that reaches target_tpr (highest
+    such); 0.5 if nothing reaches it. Thresholds are those of the pruned curve.
     """
-    c = pruned_roc(rows, label, score)
-    if max_fpr is not None and max_fpr >= 0:
-        ok = c.where((F.col("fpr") <= max_fpr) & (F.col("tpr") > 0))
-        return ok.agg(F.coalesce(F.max_by("threshold", F.struct("tpr", -F.col("threshold"))), F.lit(float("inf"))).alias("threshold"))
-    ok = c.where(F.col("tpr") >= target_tpr)
+    c = curve(rows, label, score)
+    points = pruned_roc(c)
+    none = F.lit(float("inf"))
+    if max_fpr is not None and max_fpr >= 0 and c.neg:
+        ok = points.where(F.col("fpr") <= max_fpr)
+        return ok.agg(F.coalesce(F.max_by("threshold", F.struct("tpr", -F.col("threshold"))), none).alias("threshold"))
+    ok = points.where(F.col("tpr") >= target_tpr)
+    if target_tpr <= 0 and c.pos:  # flagging nothing reaches that with no false positive
+        return ok.agg(none.alias("threshold"))
     return ok.agg(F.coalesce(F.min_by("threshold", F.struct("fpr", -F.col("threshold"))), F.lit(0.5)).alias("threshold"))
 
 
-def confusion_columns(label: Column, score: Column, threshold: Column) -> list[Column]:
-    hit = score >= threshold
-    tp, fp = F.count_if((label == 1) & hit), F.count_if((label == 0) & hit)
-    tn, fn = F.count_if((label == 0) & ~hit), F.count_if((label == 1) & ~hit)
+def confusion_columns(p: Column, n: Column, hit: Column) -> list[Column]:
+    """Counts and rates of rows that stand for p positives and n negatives each."""
+
+    def total(x: Column, wanted: Column) -> Column:
+        return F.coalesce(F.sum(F.when(wanted, x)), F.lit(0)).cast("long")
+
+    tp, fp, tn, fn = total(p, hit), total(n, hit), total(n, ~hit), total(p, ~hit)
 
     def rate(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
-    rates = {"tpr": rate(tp, tp + fn), "fnr": rate(fn, tp + fn), "fpr": rate(fp, fp + tn), "tnr": rate(tn, fp + tn), "accuracy": rate(tp + tn, tp + tn + fp + fn)}
-    return [c.alias(k) for k, c in {"tp": tp, "fp": fp, "tn": tn, "fn": fn, **rates}.items()]
+    rates_ = {"tpr": rate(tp, tp + fn), "fnr": rate(fn, tp + fn), "fpr": rate(fp, fp + tn), "tnr": rate(tn, fp + tn), "accuracy": rate(tp + tn, tp + tn + fp + fn)}
+    return [c.alias(k) for k, c in {"tp": tp, "fp": fp, "tn": tn, "fn": fn, **rates_}.items()]
 
 
-def confusion(rows: DataFrame, threshold: float | DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def confusion(rows: DataFrame | Curve, threshold: float | DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row of counts and rates at a threshold, given as a number or as a one-row table; 0 where a rate has no rows."""
-    r = valid(rows, label, score).select(F.col(label).alias("_l"), F.col(score).alias("_s"))
+    points = curve(rows, label, score).points.select(F.col("threshold").alias("_s"), "p", "n")
     if isinstance(threshold, DataFrame):
-        r = r.crossJoin(F.broadcast(threshold.select(F.col("threshold").alias("_t"))))
+        points = points.crossJoin(F.broadcast(threshold.select(F.col("threshold").alias("_t"))))
     else:
-        r = r.withColumn("_t", F.lit(threshold))
-    return r.agg(*confusion_columns(F.col("_l"), F.col("_s"), F.col("_t")))
+        points = points.withColumn("_t", F.lit(threshold))
+    return points.agg(*confusion_columns(F.col("p"), F.col("n"), F.col("_s") >= F.col("_t")))
 
 
 def group_diagnostics(rows: DataFrame, threshold: float, groups: Sequence[str] = ("source", "sample_type", "suite_name"), label: str = "label", score: str = "score") -> DataFrame:
     """Confusion by each value of each group column in one pass: dimension, value; null is "unknown"."""
     r = valid(rows, label, score)
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("dimension"), F.coalesce(F.col(g).cast("string"), F.lit("unknown")).alias("value")) for g in groups]))
-    long = r.select(F.col(label).alias("_l"), F.col(score).alias("_s"), each.alias("g"))
-    return long.groupBy("g.dimension", "g.value").agg(*confusion_columns(F.col("_l"), F.col("_s"), F.lit(threshold)))
+    long = r.select((F.col(label) == 1).cast("long").alias("_p"), (F.col(label) == 0).cast("long").alias("_n"), (F.col(score) >= F.lit(threshold)).alias("_hit"), each.alias("g"))
+    return long.groupBy("g.dimension", "g.value").agg(*confusion_columns(F.col("_p"), F.col("_n"), F.col("_hit")))
+
 
+def tradeoffs(rows: DataFrame | Curve, targets: Sequence[float], label: str = "label", score: str = "score") -> DataFrame:
+    """For each target fpr the point within it of best tpr, then least fpr, then highest threshold; infinite if there is none.
 
-def tradeoffs(rows: DataFrame, targets: Sequence[float], label: str = "label", score: str = "score") -> DataFrame:
-    """For each target fpr the point within it of best tpr, then least fpr, then highest threshold; infinite if there is none."""
-    c = roc(rows, label, score)
+    A rate without rows of its class is 0, as in confusion().
+    """
+    c = curve(rows, label, score)
+    zero = F.lit(0.0)
+    points = roc(c).withColumns({"tpr": F.coalesce("tpr", zero), "fpr": F.coalesce("fpr", zero)})
     wanted = F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target_fpr")
-    each = c.select("*", wanted).where(F.col("fpr") <= F.col("target_fpr"))
+    each = points.select("*", wanted).where(F.col("fpr") <= F.col("target_fpr"))
     best = each.groupBy("target_fpr").agg(F.max_by(F.struct("threshold", "tpr", "fpr"), F.struct("tpr", -F.col("fpr"), "threshold")).alias("b"))
-    spark = rows.sparkSession
-    all_ = spark.createDataFrame([(float(t),) for t in targets], "target_fpr double")
-    return all_.join(best, "target_fpr", "left").select("target_fpr", F.coalesce("b.threshold", F.lit(float("inf"))).alias("threshold"), F.coalesce("b.tpr", F.lit(0.0)).alias("tpr"), F.coalesce("b.fpr", F.lit(0.0)).alias("fpr"))
+    all_ = points.sparkSession.createDataFrame([(float(t),) for t in targets], "target_fpr double")
+    return all_.join(F.broadcast(best), "target_fpr", "left").select("target_fpr", F.coalesce("b.threshold", F.lit(float("inf"))).alias("threshold"), F.coalesce("b.tpr", zero).alias("tpr"), F.coalesce("b.fpr", zero).alias("fpr"))
 
 
 def tpr_map(points: DataFrame) -> DataFrame:
@@ -135,16 +182,21 @@ def tpr_map(points: DataFrame) -> DataFrame:
     return points.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("k"), F.col("tpr").alias("v"))))).alias("summary"))
 
 
-def accuracy(rows: DataFrame, threshold: float = 0.5, label: str = "label", score: str = "score") -> DataFrame:
-    r = valid(rows, label, score)
-    return r.agg(F.avg(((F.col(score) >= threshold).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
+def accuracy_column(c: Curve, threshold: float) -> Column:
+    right = F.sum(F.when(F.col("threshold") >= threshold, F.col("p")).otherwise(F.col("n")))
+    return share(right, c.pos + c.neg).alias("accuracy")
+
+
+def accuracy(rows: DataFrame | Curve, threshold: float = 0.5, label: str = "label", score: str = "score") -> DataFrame:
+    c = curve(rows, label, score)
+    return c.points.agg(accuracy_column(c, threshold))
 
 
-def bundle(rows: DataFrame, threshold: float = 0.5, label: str = "label", score: str = "score") -> DataFrame:
+def bundle(rows: DataFrame | Curve, threshold: float = 0.5, label: str = "label", score: str = "score") -> DataFrame:
     """One row: auroc, auprc, accuracy, fpr at 95 % tpr."""
-    parts = [ranking_metrics(rows, label, score), accuracy(rows, threshold, label, score), fpr_at_tpr(rows, 0.95, label, score).withColumnRenamed("fpr_at_tpr", "fpr_at_95tpr")]
-    out = parts[0]
-    for p in parts[1:]:
+    c = curve(rows, label, score)
+    out = ranking_metrics(c)
+    for p in (accuracy(c, threshold), fpr_at_tpr(c, 0.95).withColumnRenamed("fpr_at_tpr", "fpr_at_95tpr")):
         out = out.crossJoin(F.broadcast(p))
     return out
 

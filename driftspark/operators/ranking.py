@@ -27,14 +27,3 @@ def hash_rank(df: DataFrame, strata: Sequence[str], order: Column, rank: str = "
     joined = work.join(marks, same)
     within = F.row_number().over(Window.partitionBy(*key).orderBy("_order"))
     return joined.withColumn(rank, (F.col("_before") + within).cast("long")).select(*df.columns, rank, F.col(size).cast("long"))
-
-
-def running(df: DataFrame, bucket: Column, order: Sequence[Column], values: Sequence[str], suffix: str = "_sum") -> DataFrame:
-    """df with the running sums of values by order; a row of a smaller bucket comes before all of a larger one."""
-    work = df.withColumn("_bucket", bucket)
-    totals = work.groupBy("_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_bucket", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
-    within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = work.join(totals, "_bucket")
-    return joined.select(*df.columns, *[(F.col(f"_{v}") + F.sum(v).over(within)).alias(v + suffix) for v in values])

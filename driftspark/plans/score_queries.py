@@ -137,11 +137,16 @@ def choose_threshold_tpr(spark, d):
     return M.choose_threshold(tied(spark, d), 0.9)
 
 
-@query("SELECT coalesce((SELECT threshold FROM prn WHERE fpr <= 0.2 AND tpr > 0 ORDER BY tpr DESC, threshold LIMIT 1), 'inf'::DOUBLE) AS threshold", STEPS, TIED, CURVE)
+@query("SELECT coalesce((SELECT threshold FROM prn WHERE fpr <= 0.2 ORDER BY tpr DESC, threshold LIMIT 1), 'inf'::DOUBLE) AS threshold", STEPS, TIED, CURVE)
 def choose_threshold_fpr(spark, d):
     return M.choose_threshold(tied(spark, d), max_fpr=0.2)
 
 
+@query("SELECT coalesce((SELECT threshold FROM prn WHERE fpr <= 0.0005 ORDER BY tpr DESC, threshold LIMIT 1), 'inf'::DOUBLE) AS threshold", STEPS, RUNS, CURVE)
+def choose_threshold_strict(spark, d):
+    return M.choose_threshold(A.trajectories(steps(spark, d), "max"), max_fpr=0.0005)
+
+
 def confusion_sql(where: str = "score >= 0.6") -> str:
     tp, fp = f"count(*) FILTER (WHERE label = 1 AND {where})", f"count(*) FILTER (WHERE label = 0 AND {where})"
     tn, fn = f"count(*) FILTER (WHERE label = 0 AND NOT ({where}))", f"count(*) FILTER (WHERE label = 1 AND NOT ({where}))"
@@ -208,9 +213,9 @@ CHOSEN = "cho AS (SELECT coalesce((SELECT threshold FROM prn WHERE tpr >= 0.95 O
 
 @query(f"SELECT (SELECT auroc FROM ({RANKS})) AS auroc, (SELECT t FROM cho) AS threshold, {confusion_sql('score >= (SELECT t FROM cho)')} FROM run", STEPS, RUNS, CURVE, CHOSEN)
 def flagged_quality(spark, d):
-    runs = A.trajectories(steps(spark, d), "max")
-    threshold = M.choose_threshold(runs, 0.95)
-    out = M.ranking_metrics(runs).select("auroc").crossJoin(threshold).crossJoin(M.confusion(runs, threshold))
+    c = M.curve(A.trajectories(steps(spark, d), "max"))
+    threshold = M.choose_threshold(c, 0.95)
+    out = M.ranking_metrics(c).select("auroc").crossJoin(F.broadcast(threshold)).crossJoin(F.broadcast(M.confusion(c, threshold)))
     return rounded(out, "auroc", *RATES)
 
 

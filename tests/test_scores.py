@@ -14,7 +14,7 @@ def one(spark, scores, spec):
     "scores,spec,want",
     [
         ([], "max", 0), ([], "cusum", 0), ([], "mean", 0), ([], "top2_mean", 0), ([], "first_exceed_2", 0), ([0.1, 0.8, 0.4], "max", 0.8), ([0.1, 0.8, 0.4], "top2_mean", 0.6), ([0.3], "top_2_mean", 0.3), ([0.1, 0.3], "mean", 0.2),
-        ([0.1, 0.9, 0.2, 0.1, 0.1], "first_exceed_3", 0.9), ([0.2, 0.2, 0.3, 0.1, 0.95], "first_exceed_3", 0.3), ([0.2, 0.3, 0.85, 0.2, 0.3], "cusum", 0.35), ([0.55, 0.6, 0.65, 0.7, 0.75], "cusum", 0.75),
+        ([0.1, 0.9, 0.2, 0.1, 0.1], "first_exceed_3", 0.9), ([0.2, 0.2, 0.3, 0.1, 0.95], "first_exceed_3", 0.3), ([0.2, 0.3, 0.85, 0.2, 0.3], "cusum", 0.35), ([0.6, 0.6, 0.7, 0.8, 0.9], "cusum", 1.1),
         ([0.7, 0.7, 0.2, 0.2, 0.2], "cusum_w2", 0.4), ([0.7, 0.7, 0.9], "cusum_2", 0.4), ([0.7, 0.7], "cusum_s0.1_r0.4_junk", 0.4),
     ],
 )
@@ -110,9 +110,34 @@ def test_pruned_curve_agrees_with_second_differences(spark, seed):
     ok = [(t, tp / p, fp / n) for t, tp, fp in got]
     reach = [x for x in ok if x[1] >= 0.8]
     assert M.choose_threshold(df, 0.8).first().threshold == min(reach, key=lambda x: (x[2], -x[0]))[0]
-    within = [x for x in ok if x[2] <= 0.3 and x[1] > 0]
-    if within:
-        assert M.choose_threshold(df, max_fpr=0.3).first().threshold == max(within, key=lambda x: (x[1], -x[0]))[0]
+    for most in (0.0, 0.02, 0.3):
+        within = [(math.inf, 0.0, 0.0)] + [x for x in ok if x[2] <= most]
+        assert M.choose_threshold(df, max_fpr=most).first().threshold == max(within, key=lambda x: (x[1], -x[0]))[0]
+    for size in (7, 40):  # several ranges
+        c = M.curve(df, size=size)
+        assert [(r.threshold, r.tp, r.fp) for r in M.pruned_roc(c).orderBy(F.col("threshold").desc()).collect()] == got
+        assert M.bundle(c).first() == M.bundle(df).first() and M.confusion(c, 0.4).first() == M.confusion(df, 0.4).first()
+
+
+def test_thresholds_keep_to_an_fpr_even_without_a_hit(spark):
+    negatives_first = scored(spark, [0, 1, 0, 0, 0, 0, 0, 0, 1], [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1])
+    assert M.choose_threshold(negatives_first, max_fpr=0.15).first().threshold == 0.8
+    top = scored(spark, [0, 0, 1] + [0] * 6, [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1])
+    assert M.choose_threshold(top, max_fpr=0.13).first().threshold == 0.9
+    assert math.isinf(M.choose_threshold(top, max_fpr=0.1).first().threshold)
+    assert M.choose_threshold(scored(spark, [1, 1], [0.2, 0.6]), max_fpr=0.1).first().threshold == 0.2
+    assert M.choose_threshold(scored(spark, [0, 0], [0.2, 0.6]), 0.9).first().threshold == 0.5
+    assert math.isinf(M.choose_threshold(top, 0.0).first().threshold)
+    empty = scored(spark, [], [])
+    assert M.choose_threshold(empty).first().threshold == 0.5 and M.bundle(empty).first().fpr_at_95tpr == 1 and M.confusion(empty, 0.5).first().tp == 0
+
+
+def test_saturated_scores_are_spread(spark):
+    """Scores that differ in the tenth digit only do not end in one range."""
+    df = spark.range(4000).select((F.col("id") % 2).cast("int").alias("label"), (1 - F.col("id") * 1e-10).alias("score"))
+    points = M.curve(df, size=500).points
+    assert points.select(F.max("tp"), F.max("fp"), F.count(F.lit(1))).first() == (2000, 2000, 4000)
+    assert points.where("tp + fp = 1").first().threshold == 1.0 and points.where("top").count() == 1 and points.where("next_p is null").count() == 1
 
 
 def test_groups(spark):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.operators import clean, splits as P
-from driftspark.operators.ranking import hash_rank, running
+from driftspark.operators.ranking import hash_rank
 
 COLS = "ord long, label int, text string, source string, split_group string"
 
@@ -11,12 +11,10 @@ def table(spark, rows):
     return clean.with_id(spark.createDataFrame(rows, COLS))
 
 
-def test_ranks_and_sums_agree_with_plain_windows(spark):
-    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.sha1(F.col("id").cast("string")).alias("h"), F.rand(1).alias("x"), F.lit(1).alias("n"))
+def test_ranks_agree_with_plain_windows(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.sha1(F.col("id").cast("string")).alias("h"))
     got = hash_rank(df, ["g"], F.col("h")).selectExpr("rank", "size", "row_number() over (partition by g order by h) r", "count(*) over (partition by g) n")
     assert got.where("rank <> r or size <> n").count() == 0
-    sums = running(df, F.floor(F.col("x") * 7), [F.col("x")], ["n"]).selectExpr("n_sum", "row_number() over (order by x) r")
-    assert sums.where("n_sum <> r").count() == 0
 
 
 def test_null_strata_are_ranked(spark):

@@ -2,8 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.functions import text as X
-from driftspark.operators import clean, encode, pairs, steps as S
-from driftspark.operators.contains import contains_join
+from driftspark.operators import clean, contains, encode, pairs, steps as S
 
 MSG = "array<struct<role:string,content:string>>"
 
@@ -164,9 +163,27 @@ def test_counterfactual_pairs(spark):
     assert pairs.counterfactuals(df, pool.where("false")).count() == 4
 
 
-def test_contains_join_either_way(spark):
-    texts = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again"), (2, "nothing"), (3, None)], "id int, text string")
-    parts = spark.createDataFrame([("quick brown fox jumps over the lazy",), ("fox",), ("brown fox jumps over the lazy cat!",), (None,), ("",)], "part string")
-    want = {(1, "quick brown fox jumps over the lazy"), (1, "fox")}
-    for n in (10, 0):
-        assert {(r.id, r.part) for r in contains_join(texts, parts, broadcast_rows=n).collect()} == want
+@pytest.mark.parametrize("options", [{}, {"shard_chars": 3}, {"pool_chars": 40, "key_chars": 6}, {"pool_chars": 0, "key_chars": 6, "most_heads": 0}, {"pool_chars": 0, "key_chars": 6}])
+@pytest.mark.parametrize("compiled", [True, False])
+def test_contains_join_agrees_with_looking_everywhere(spark, options, compiled, monkeypatch):
+    if not compiled:
+        if options not in ({}, {"shard_chars": 3}):
+            pytest.skip("the same as with the compiled automaton")
+        words = ["he", "she", "his", "hers", "e", "ars"]
+        trie = contains.Trie()
+        for i, w in enumerate(words):
+            trie.add_word(w, i)
+        trie.make_automaton()
+        for text in ("ushers", "", "hishehears", "zzz", "eee"):
+            want = sorted((i + len(w) - 1, k) for k, w in enumerate(words) for i in range(len(text)) if text.startswith(w, i))
+            assert sorted(trie.iter(text)) == want
+        return
+    texts = [(1, "the quick brown fox jumps"), (2, "a lazy dog. the quick brown"), (2, "a lazy dog. the quick brown"), (3, ""), (4, None), (5, "ünïcode fox ünïcode"), (6, "abcabcabc")]
+    parts = [(1, "quick brown"), (2, "fox"), (3, ""), (4, None), (5, "fox"), (6, "abcabc"), (7, "ïcode"), (8, "the quick brown fox jumps over"), (9, "c"), (10, "quick brow")]
+    t = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    p = spark.createDataFrame(parts, "n long, part string")
+    want = sorted((i, n) for i, x in texts for n, y in parts if x and y and y in x)
+    joined = contains.contains_join(t, p, **options)
+    assert sorted((r.id, r.n) for r in joined.collect()) == want
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -17,10 +17,10 @@ class FeatureConfig:
 
 
 def drift(acts: DataFrame, mode: str = "concat") -> DataFrame:
-    """acts with the changes (inc, glob, prog), their layer norms, relative norms and cosines."""
+    """acts with the changes (inc, glob, prog), their layer norms (hist_norm is that of prog, the history's way from the task), relative norms and cosines."""
     work = acts.withColumns({f"_{c}": V.layers(V.doubles(F.col(c)), mode) for c in ("task", "history", "post")})
     work = work.withColumns({"inc": V.subtract(F.col("_post"), F.col("_history")), "glob": V.subtract(F.col("_post"), F.col("_task")), "prog": V.subtract(F.col("_history"), F.col("_task"))})
-    work = work.withColumns({"inc_norm": V.norms(F.col("inc")), "glob_norm": V.norms(F.col("glob")), "hist_norm": V.norms(F.col("_history"))})
+    work = work.withColumns({"inc_norm": V.norms(F.col("inc")), "glob_norm": V.norms(F.col("glob")), "hist_norm": V.norms(F.col("prog"))})
     work = work.withColumns({"rel_norm": V.relative(F.col("inc_norm"), F.col("hist_norm")), "cosine": V.cosines(F.col("inc"), F.col("glob"))})
     return work.drop("_task", "_history", "_post")
 

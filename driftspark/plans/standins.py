@@ -88,11 +88,10 @@ ACTS = """vec AS (
     SELECT sample_index, step_index, label, k AS layer,
            [c[k * 16 + i]::DOUBLE - b[k * 16 + i]::DOUBLE FOR i IN range(1, 17)] AS inc,
            [c[k * 16 + i]::DOUBLE - a[k * 16 + i]::DOUBLE FOR i IN range(1, 17)] AS "glob",
-           [b[k * 16 + i]::DOUBLE - a[k * 16 + i]::DOUBLE FOR i IN range(1, 17)] AS prog,
-           [b[k * 16 + i]::DOUBLE FOR i IN range(1, 17)] AS hist
+           [b[k * 16 + i]::DOUBLE - a[k * 16 + i]::DOUBLE FOR i IN range(1, 17)] AS prog
     FROM vec, (SELECT unnest(range(0, 4)) AS k) WHERE step_index >= 2
 ), nrm AS (
-    SELECT *, sqrt(list_sum([x * x FOR x IN inc])) AS inc_norm, sqrt(list_sum([x * x FOR x IN "glob"])) AS glob_norm, sqrt(list_sum([x * x FOR x IN hist])) AS hist_norm,
+    SELECT *, sqrt(list_sum([x * x FOR x IN inc])) AS inc_norm, sqrt(list_sum([x * x FOR x IN "glob"])) AS glob_norm, sqrt(list_sum([x * x FOR x IN prog])) AS hist_norm,
            list_sum([inc[i] * "glob"[i] FOR i IN range(1, 17)]) AS ig
     FROM lay
 ), rel AS (

@@ -8,8 +8,8 @@ from driftspark.operators import detectors as D, encode as E, features as X, ste
 ACT = "sample_index long, step_index int, task array<array<float>>, history array<array<float>>, post array<array<float>>, label int, trajectory_label int, source string, sample_type string, suite_name string"
 
 
-def synthetic(spark, n=24, steps=4, layers=2, hidden=4, seed=0):
-    """Benign steps move a little, malicious ones by 2.5."""
+def synthetic(spark, n=24, steps=4, layers=2, hidden=4, seed=0, shift=0.0):
+    """Benign steps move a little, malicious ones by 2.5; all is shifted."""
     rng = np.random.default_rng(seed)
     rows = []
     for i in range(n):
@@ -18,7 +18,7 @@ def synthetic(spark, n=24, steps=4, layers=2, hidden=4, seed=0):
             hist = 0.05 * rng.normal(size=(layers, hidden))
             hit = int(bad and k >= 2)
             post = hist + 2.5 * hit + 0.05 * rng.normal(size=(layers, hidden))
-            rows.append((i, k, np.zeros((layers, hidden)).tolist(), hist.tolist(), post.tolist(), hit, bad, f"s{i % 3}", "t", None))
+            rows.append((i, k, np.full((layers, hidden), shift).tolist(), (hist + shift).tolist(), (post + shift).tolist(), hit, bad, f"s{i % 3}", "t", None))
     return spark.createDataFrame(rows, ACT)
 
 
@@ -27,15 +27,16 @@ def arrays(df, *columns):
     return [np.array([r[c] for r in rows], float) for c in columns]
 
 
-def test_drift_agrees_with_numpy(spark):
-    acts = synthetic(spark)
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_drift_agrees_with_numpy(spark, shift):
+    acts = synthetic(spark, shift=shift)
     task, hist, post = arrays(acts, "task", "history", "post")
     df = X.drift(acts)
     inc, glob, prog = arrays(df, "inc", "glob", "prog")
     assert np.allclose(inc, post - hist) and np.allclose(glob, post - task) and np.allclose(prog, hist - task)
     a, b, h, r, c = arrays(df, "inc_norm", "glob_norm", "hist_norm", "rel_norm", "cosine")
     n = np.linalg.norm
-    assert np.allclose(a, n(inc, axis=2)) and np.allclose(b, n(glob, axis=2)) and np.allclose(h, n(hist, axis=2)) and np.allclose(r, a / (h + 1e-6))
+    assert np.allclose(a, n(inc, axis=2)) and np.allclose(b, n(glob, axis=2)) and np.allclose(h, n(hist - task, axis=2)) and np.allclose(r, a / (h + 1e-6))
     assert np.allclose(c, (inc * glob).sum(2) / (a * b))
 
 

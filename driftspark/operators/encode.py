@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import char_tokens
@@ -89,16 +90,34 @@ def truncate(messages: list[dict], budget: int, count: Callable[[str], int] = le
     return head + tail or [cut(messages[-1], budget)]
 
 
-def truncated(messages: Column, budget: int) -> Column:
-    """The same by Arrow batches, one character a token; lists that fit are left as they are."""
+def truncated(messages: Column, budget: int, counter: Callable[[], Callable[[str], int]] | None = None) -> Column:
+    """The same by Arrow batches; lists that fit are left as they are.
+
+    counter() makes a tokenizer's count once a worker; without it a character is a token.
+    """
     kind = "array<struct<role:string,content:string>>"
 
     @F.pandas_udf(kind)
     def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ms: truncate([dict(m) for m in ms], budget) if ms is not None else None)
+        count = once(counter) if counter else len
+        return lists.map(lambda ms: truncate([dict(m) for m in ms], budget, count) if ms is not None else None)
 
     plain = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content")))
-    return F.when(char_tokens(messages) <= budget, plain).otherwise(run(plain))
+    # a tokenizer's tokens are whole characters or parts of them, so a list within a quarter of the budget fits in any case
+    fits = char_tokens(messages) <= (budget if counter is None else budget // 4)
+    return F.when(fits, plain).otherwise(run(plain))
+
+
+_made: dict[str, Encoder] = {}
+
+
+def once(make: Callable[[], Encoder]) -> Encoder:
+    """The encoder of this Python worker, made by the first task that needs it and kept for the later ones."""
+    key = hashlib.sha1(cloudpickle.dumps(make)).hexdigest()
+    if key not in _made:
+        _made.clear()  # never two models at once
+        _made[key] = make()
+    return _made[key]
 
 
 def encoded(rows: DataFrame, make: Callable[[], Encoder], prefix: str, task: str, out: str, batch_rows: int = 32) -> DataFrame:
@@ -106,7 +125,7 @@ def encoded(rows: DataFrame, make: Callable[[], Encoder], prefix: str, task: str
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != prefix], T.StructField(out, T.ArrayType(T.ArrayType(T.FloatType())))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = make()
+        encoder = once(make)
         for pdf in batches:
             states: list = []
             for lo in range(0, len(pdf), batch_rows):

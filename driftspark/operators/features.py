@@ -87,6 +87,41 @@ def self_baseline(rows: DataFrame, norm: str, layers: int, key: str = "sample_in
     return rows.withColumn(f"{norm}_z", F.array(*out))
 
 
+NORMS = ("inc_norm", "glob_norm", "hist_norm", "rel_norm")
+
+#: Layer statistics of benign rows: norm, then layer, then (mean, deviation).
+Baseline = dict[str, dict[int, tuple[float, float]]]
+
+
+def collected_baseline(rows: DataFrame) -> Baseline:
+    """benign_baseline() in the driver: four norms of each layer."""
+    out: Baseline = {}
+    for r in benign_baseline(rows).collect():
+        out.setdefault(r["norm"], {})[r["layer"]] = (r["mean"], r["deviation"])
+    return out
+
+
+def with_anchors(rows: DataFrame, anchored: dict[str, list[list[float]]]) -> DataFrame:
+    """rows of drift() with the distance statistics to the anchors of changes (inc, glob); works on streams too."""
+    for name in ("inc", "glob"):
+        table = rows.sparkSession.createDataFrame([(anchored[name],)], "anchors array<array<double>>")
+        rows = anchor_distances(rows, F.flatten(name), table, f"{name}_anchor_stats")
+    return rows
+
+
+def featurize(acts: DataFrame, cfg: FeatureConfig, layers: int, anchored: dict[str, list[list[float]]] | None = None, baseline: Baseline | None = None, out: str = "features") -> DataFrame:
+    """Steps' triples of tensors with the whole feature vector; layers is how many drift() leaves."""
+    rows = drift(acts, cfg.mode)
+    if cfg.use_anchors:
+        if anchored is None:
+            raise ValueError("distances to anchors need both sets of anchors")
+        rows = with_anchors(rows, anchored)
+    if cfg.self_baseline:
+        for n in NORMS:
+            rows = self_baseline(rows, n, layers, baseline=(baseline or {}).get(n))
+    return assemble(rows, cfg, out)
+
+
 def assemble(rows: DataFrame, cfg: FeatureConfig, out: str = "features") -> DataFrame:
     """rows of drift() with one array in fixed order: changes, norms, cosines, then anchor statistics and z-scores if configured."""
     parts = [F.flatten("inc"), F.flatten("glob"), *map(F.col, ("inc_norm", "glob_norm", "hist_norm", "rel_norm", "cosine"))]

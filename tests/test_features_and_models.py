@@ -136,3 +136,36 @@ def test_each_prefix_is_encoded_once(spark, tmp_path):
     assert rows[0].post == rows[1].history and rows[0].task == rows[1].task and len(rows[0].task) == 4
     plain = E.HashEncoder()([[{"role": "system", "content": "S"}]], ["U"])[0]
     assert np.allclose(rows[0].task, plain, atol=1e-6)
+
+
+def test_drift_detector_featurises_new_steps(spark, tmp_path):
+    """The whole vector, with anchors and baseline, from a saved and loaded detector; and its numbers outside Spark."""
+    from driftspark.operators.portable import Portable, exported
+
+    acts = synthetic(spark, shift=1.0)
+    detector = D.fit_drift(acts, n_anchors=6, iterations=5)
+    rows = detector.features(acts)
+    assert {len(r.features) for r in rows.select("features").collect()} == {2 * 2 * 4 + 5 * 2 + 8 + 4 * 2}
+    D.calibrate(detector, rows)
+    assert detector.metrics["val"]["auroc"] > 0.95
+    detector.save(spark, str(tmp_path / "d"))
+    again = D.Detector.load(spark, str(tmp_path / "d"))
+    assert (again.config, again.layers, again.baseline) == (detector.config, 2, detector.baseline) and again.anchors == detector.anchors
+    new = synthetic(spark, 6, seed=5, shift=1.0)
+    want = [r.score for r in detector.score(detector.features(new)).orderBy("sample_index", "step_index").collect()]
+    scored = again.score(again.features(new)).orderBy("sample_index", "step_index").collect()
+    assert [r.score for r in scored] == pytest.approx(want)
+    x = np.array([r.features for r in scored])
+    assert Portable(exported(spark, again.model)).score(x) == pytest.approx(np.array(want), abs=1e-9)
+    with pytest.raises(ValueError):
+        D.fit(rows, "logistic").features(new)
+
+
+@pytest.mark.parametrize("kind,params", [("logistic", {}), ("forest", {"trees": 7}), ("scaled_logistic", {})])
+def test_exported_models_agree_with_spark(spark, kind, params):
+    from driftspark.operators.portable import Portable, exported
+
+    df = X.minimal_norms(X.drift(synthetic(spark))).withColumn("features", F.concat(F.array("inc_mean", "glob_mean"), "inc_norm"))
+    detector = D.fit(df, kind, **params)
+    rows = detector.score(df).select("features", "score").collect()
+    assert Portable(exported(spark, detector.model)).score(np.array([r.features for r in rows])) == pytest.approx(np.array([r.score for r in rows]), abs=1e-9)

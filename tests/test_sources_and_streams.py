@@ -1,14 +1,19 @@
 import json
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftspark.operators import encode as E, steps as S
+from driftspark.operators import detectors as D, encode as E, steps as S
+from driftspark.operators.aggregate import running_scores
+from driftspark.operators.features import FeatureConfig
 from driftspark.sources import corpora as C, sinks
 from driftspark.streaming import scorer
 
+from .test_features_and_models import synthetic
+
 
 def put(path, value):
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -126,8 +131,6 @@ def test_streams_agree_with_batch_and_windows(spark, tmp_path, spec, abort):
     got = sorted(map(tuple, spark.table("scores").collect()), key=lambda r: r[:2])
     batch = scorer.score_batch(df.where("role = 'tool'").drop("role"), spec, 0.6, abort)
     assert got == sorted(map(tuple, batch.collect()), key=lambda r: r[:2])
-    from driftspark.operators.aggregate import running_scores
-
     windows = {(r.sample_index, r.step_index): r.running for r in running_scores(df.where("role = 'tool'"), spec).collect()}
     for r in got:
         assert r[4] == pytest.approx(windows[r[:2]])
@@ -143,11 +146,32 @@ def test_past_moments_agree_with_pandas():
     xs = [3.0, 1.0, 4.0, 1.0, 5.0]
     past, got = scorer.Past(), []
     for x in xs:
-        got.append(past.z(x))
-        past.learn(x)
+        got.append(past.z(np.array([x, 2 * x])).tolist())
+        past.learn(np.array([x, 2 * x]))
         past = scorer.Past(past.tuple())
-    want = [0, 0] + [(xs[i] - pd.Series(xs[:i]).mean()) / (pd.Series(xs[:i]).std(ddof=0) + 1e-6) for i in range(2, 5)]
-    assert got == pytest.approx(want)
+    one = lambda i, k: (k * xs[i] - pd.Series(xs[:i]).mean() * k) / (pd.Series(xs[:i]).std(ddof=0) * k + 1e-6)
+    want = [[0, 0], [0, 0]] + [[one(i, 1), one(i, 2)] for i in range(2, 5)]
+    assert np.allclose(got, want)
+    assert scorer.Past().z(np.array([3.0]), (np.array([1.0]), np.array([2.0])))[0] == pytest.approx(1.0, abs=1e-5)
+
+
+@pytest.mark.parametrize("config,aggregation", [(FeatureConfig(), "cusum"), (FeatureConfig("last_only", False, True), "max")])
+def test_live_scores_agree_with_batch(spark, tmp_path, config, aggregation):
+    """Tensors in, model applied in the stream, over several micro-batches."""
+    acts = synthetic(spark, shift=1.0)
+    detector = D.fit_drift(acts, config, n_anchors=5, iterations=4)
+    D.calibrate(detector, detector.features(acts), aggregation)
+    columns = ["sample_index", "step_index", "task", "history", "post"]
+    for k in range(4):
+        acts.where(F.col("step_index") == k).select(*columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(acts.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    scorer.score_live(stream, detector, abort=False).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
+    got = {(r.sample_index, r.step_index): r for r in spark.table("live").collect()}
+    batch = running_scores(detector.score(detector.features(acts)), aggregation).collect()
+    assert len(got) == len(batch) == 96
+    for r in batch:
+        live = got[r.sample_index, r.step_index]
+        assert live.score == pytest.approx(r.score, abs=1e-6) and live.running == pytest.approx(r.running, abs=1e-6) and live.triggered == (live.running >= detector.threshold)
 
 
 def test_event_time_extensions(spark, tmp_path):

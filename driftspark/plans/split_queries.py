@@ -189,7 +189,21 @@ def resume_antijoin(spark, d):
     return S.resume(s, s.where("event_id % 4 = 0")).select("sample_index", "step_index")
 
 
-@query("SELECT event_type AS extraction_mode, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY event_type")
+@query(
+    """SELECT DISTINCT event_type AS extraction_mode, 'all' AS sink, (SELECT count(DISTINCT event_type) FROM events) > 1 AS refused FROM events
+    UNION ALL SELECT DISTINCT event_type, 'own', false FROM events"""
+)
 def mode_guard(spark, d):
+    """Whether a sink is refused that holds all modes' rows, or its own mode's alone."""
     rows = table(spark, d, "events").select(F.col("event_type").alias("extraction_mode"))
-    return rows.where("extraction_mode <> 'view'").groupBy("extraction_mode").agg(F.count(F.lit(1)).alias("n"))
+
+    def refused(sink, mode: str) -> bool:
+        try:
+            S.check_mode(sink, mode)
+        except ValueError:
+            return True
+        return False
+
+    modes = sorted(r[0] for r in rows.distinct().collect())
+    out = [(m, name, refused(sink, m)) for m in modes for name, sink in (("all", rows), ("own", rows.where(F.col("extraction_mode") == m)))]
+    return spark.createDataFrame(out, "extraction_mode string, sink string, refused boolean")

@@ -37,14 +37,16 @@ SAMPLES = """smp AS (
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a conversation; odd ones are positives, located in different ways."""
+    """One row a conversation; odd ones are positives, located by places, fragments of the last reply, or text, or not at all."""
     c = table(spark, sf_dir, "conversations")
     m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     rows = c.groupBy("conv_id").agg(m.alias("messages"))
     idx = F.when(F.col("conv_id") % 5 == 0, F.lit(None)).when(F.col("conv_id") % 7 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("conv_id") % 4 + 1).cast("int")))
+    said = F.try_element_at(F.filter("messages", lambda m: m["role"] == STEP_ROLE), F.lit(-1))["content"]
+    part = lambda n, k: F.when((F.col("conv_id") % 5 == 0) & (F.col("conv_id") % 3 == k), F.regexp_extract(said, r"[^\n]{1,%d}" % n, 0))
     return rows.select(
         F.col("conv_id").alias("sample_index"), (F.col("conv_id") % 2).cast("int").alias("label"), "messages", idx.cast("array<int>").alias("malicious_idx"),
-        F.lit(None).cast("array<string>").alias("injection_fragments"), F.lit(None).cast("string").alias("injection_text"),
+        F.when(part(60, 0).isNotNull(), F.array(part(60, 0), F.lit(" "))).alias("injection_fragments"), part(30, 1).alias("injection_text"),
     )
 
 

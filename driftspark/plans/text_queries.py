@@ -113,16 +113,22 @@ def task_prefix(spark, d):
     return chats(spark, d).select(F.col("sample_index").alias("conv_id"), F.size(p).cast("long").alias("turns"), X.char_tokens(p).alias("chars"))
 
 
-FIRST = "CASE WHEN conv_id % 2 = 1 AND conv_id % 5 <> 0 AND conv_id % 7 <> 0 THEN conv_id % 4 + 1 END"
+LOCATED = f"""frg AS (
+    SELECT conv_id, {STRIP.format("regexp_extract(max_by(text, pos), CASE WHEN conv_id % 3 = 0 THEN '[^' || chr(10) || ']{1,60}' ELSE '[^' || chr(10) || ']{1,30}' END)")} AS part
+    FROM msg WHERE role = 'assistant' AND conv_id % 5 = 0 AND conv_id % 3 < 2 GROUP BY conv_id
+), loc AS (
+    SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN NULL WHEN conv_id % 5 > 0 THEN CASE WHEN conv_id % 7 > 0 THEN conv_id % 4 + 1 END
+        ELSE (SELECT min(pos) FROM msg m JOIN frg USING (conv_id) WHERE m.conv_id = c.conv_id AND role = 'assistant' AND part <> '' AND contains(text, part)) END AS hit
+    FROM (SELECT DISTINCT conv_id FROM msg) c)"""
 
 
 @query(
-    f"""SELECT conv_id AS sample_index, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS step_index, pos AS tool_message_index, (conv_id % 2)::INT AS trajectory_label,
-        CASE WHEN conv_id % 2 = 0 THEN 0 WHEN {FIRST} IS NULL THEN -1 ELSE (pos >= {FIRST})::INT END AS label,
-        CASE WHEN conv_id % 2 = 0 THEN 'trajectory' WHEN {FIRST} IS NULL THEN 'unlocatable' ELSE 'matched_injection' END AS step_label_source
-    FROM msg WHERE role = 'assistant'""",
-    MESSAGES,
-)
+    """SELECT conv_id AS sample_index, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS step_index, pos AS tool_message_index, (conv_id % 2)::INT AS trajectory_label,
+        CASE WHEN conv_id % 2 = 0 THEN 0 WHEN hit IS NULL THEN -1 ELSE (pos >= hit)::INT END AS label,
+        CASE WHEN conv_id % 2 = 0 THEN 'trajectory' WHEN hit IS NULL THEN 'unlocatable' ELSE 'matched_injection' END AS step_label_source
+    FROM msg JOIN loc USING (conv_id) WHERE role = 'assistant'""",
+    MESSAGES, LOCATED,
+)
 def step_labels(spark, d):
     rows = S.tool_steps(chats(spark, d), STEP_ROLE)
     return rows.select("sample_index", F.col("step_index").cast("long").alias("step_index"), F.col("tool_message_index").cast("long").alias("tool_message_index"), "trajectory_label", "label", "step_label_source")

@@ -59,18 +59,6 @@ def flatten_modes(spark, d):
     return acts(spark, d).select(*KEYS, *out)
 
 
-#: 64 * 2 changes, 4 * 5 norms and cosines.
-@query(
-    """SELECT r.sample_index, r.step_index, 148 AS width,
-        round(sum(list_sum(inc) + list_sum("glob") + inc_norm + glob_norm + hist_norm + rel_norm + cosine), 5) AS total
-    FROM rel r GROUP BY r.sample_index, r.step_index""",
-    ACTS,
-)
-def feature_matrix(spark, d):
-    rows = X.assemble(drift(spark, d), X.FeatureConfig(use_anchors=False, self_baseline=False))
-    return rows.select(*KEYS, F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
-
-
 N_ANCHORS = 20
 ORDER = "sha1('42|' || sample_index || '|' || step_index)"
 
@@ -86,9 +74,14 @@ def flat(c: str):
     return F.flatten(V.doubles(F.col(c)))
 
 
-@query("SELECT ai AS sample_index, si AS step_index FROM anc", ACTS, ANCHORS)
+@query(
+    """SELECT row_number() OVER (ORDER BY sha1('42|' || ai || '|' || si)) - 1 AS place, round(list_sum([anchor[i]::DOUBLE * i FOR i IN range(1, 65)]), 5) AS total FROM anc""",
+    ACTS, ANCHORS,
+)
 def anchor_select(spark, d):
-    return acts(spark, d).where("label = 0").select(*KEYS, order().alias("o")).orderBy("o").limit(N_ANCHORS).drop("o")
+    table = X.anchor_table(acts(spark, d), flat("post"), N_ANCHORS, order())
+    total = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return table.select(F.posexplode("anchors").alias("place", "v")).select(F.col("place").cast("long").alias("place"), F.round(total, 5).alias("total"))
 
 
 @query(
@@ -152,3 +145,36 @@ def self_baseline_zero(spark, d):
 @query(Z.format(other="(SELECT (z.v - avg(b.v)) / (stddev_pop(b.v) + 1e-6) FROM lng b WHERE b.label = 0 AND b.norm = z.norm AND b.layer = z.layer)"), ACTS, LONG)
 def self_baseline_global(spark, d):
     return z_scores(spark, d, True)
+
+
+#: Every place of the whole vector: changes, norms, cosines, distances to anchors, z-scores.
+FEATURES = f"""fa AS (
+    SELECT [c[i]::DOUBLE - b[i]::DOUBLE FOR i IN range(1, 65)] AS ai, [c[i]::DOUBLE - a[i]::DOUBLE FOR i IN range(1, 65)] AS ag
+    FROM vec WHERE step_index >= 2 AND label = 0 ORDER BY {ORDER} LIMIT {N_ANCHORS}
+), fl AS (
+    SELECT sample_index, step_index, [c[i]::DOUBLE - b[i]::DOUBLE FOR i IN range(1, 65)] AS fi, [c[i]::DOUBLE - a[i]::DOUBLE FOR i IN range(1, 65)] AS fg FROM vec WHERE step_index >= 2
+), ds AS (
+    SELECT sample_index, step_index, w, [avg(x), min(x), max(x), stddev_samp(x)] AS l FROM (
+        SELECT sample_index, step_index, 0 AS w, sqrt(list_sum([(fi[i] - ai[i]) ** 2 FOR i IN range(1, 65)])) AS x FROM fl, fa
+        UNION ALL SELECT sample_index, step_index, 1, sqrt(list_sum([(fg[i] - ag[i]) ** 2 FOR i IN range(1, 65)])) FROM fl, fa)
+    GROUP BY sample_index, step_index, w
+), zs AS (
+    SELECT sample_index, step_index, norm, layer, CASE WHEN n >= 2 THEN (v - m) / (s + 1e-6) ELSE (v - bm) / (bs + 1e-6) END AS z
+    FROM (SELECT *, count(*) OVER w AS n, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM lng
+          WINDOW w AS (PARTITION BY sample_index, norm, layer ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    JOIN (SELECT norm, layer, avg(v) AS bm, stddev_pop(v) AS bs FROM lng WHERE label = 0 GROUP BY norm, layer) USING (norm, layer)
+), places AS (
+    SELECT sample_index, step_index, layer * 16 + i - 1 AS place, inc[i] AS v FROM rel, (SELECT unnest(range(1, 17)) AS i)
+    UNION ALL SELECT sample_index, step_index, 64 + layer * 16 + i - 1, "glob"[i] FROM rel, (SELECT unnest(range(1, 17)) AS i)
+    UNION ALL SELECT sample_index, step_index, 128 + 4 * k + layer, [inc_norm, glob_norm, hist_norm, rel_norm, cosine][k + 1] FROM rel, (SELECT unnest(range(0, 5)) AS k)
+    UNION ALL SELECT sample_index, step_index, 148 + 4 * w + k, l[k + 1] FROM ds, (SELECT unnest(range(0, 4)) AS k)
+    UNION ALL SELECT sample_index, step_index, 156 + 4 * (list_position({list(NORMS)}, norm) - 1) + layer, z FROM zs)"""
+
+
+@query("SELECT sample_index, step_index, place::BIGINT AS place, CASE WHEN round(v, 4) = 0 THEN 0.0::DOUBLE ELSE round(v, 4) END AS v FROM places", ACTS, LONG, FEATURES)
+def feature_matrix(spark, d):
+    rows = acts(spark, d)
+    changes = X.drift(rows)
+    anchored = {c: X.anchors(changes, F.flatten(c), N_ANCHORS, order()) for c in ("inc", "glob")}
+    out = X.featurize(rows, X.FeatureConfig(), 4, anchored, X.collected_baseline(changes))
+    return out.select(*KEYS, F.posexplode("features").alias("place", "v")).select(*KEYS, F.col("place").cast("long").alias("place"), F.when(F.round("v", 4) == 0, 0.0).otherwise(F.round("v", 4)).alias("v"))

@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: names, lineage cuts, byte-level numpy."""
+"""Helpers shared by the corpus operators: names, byte-level numpy."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..lineage import checkpoint_dir, cut, delete, delete_at_exit  # noqa: F401
+
 #: Text bytes handled at once in a Python worker; numpy temporaries are about 40 times that.
 SLICE_BYTES = 1 << 21
 
@@ -35,29 +37,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="driftspark-checkpoint-")
-        sc.setCheckpointDir(shared)
-        current = sc.getCheckpointDir()
-    return current
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: int = 0, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the text column of each piece is within limit, or is one row."""
     for batch in batches:

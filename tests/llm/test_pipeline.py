@@ -1,6 +1,8 @@
+from pathlib import Path
+
 import corpus_pipeline
 from driftspark.llm import crf, jaccard, queries
-from driftspark.llm.common import load
+from driftspark.llm.common import checkpoint_dir, load
 
 from .test_passages_and_pairs import brute_pairs
 
@@ -50,16 +52,28 @@ def test_stages_one_by_one(spark, sf, tmp_path):
 def test_run_is_the_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in load(spark, sf, "documents").collect()}
+    left = [p for p in Path(checkpoint_dir(spark).removeprefix("file:")).glob("pipeline-*")]
+    assert left and all(sorted(x.name for x in p.iterdir() if not x.name.startswith(".")) == [str(len(corpus_pipeline.STAGES) - 2)] for p in left)
 
 
 def test_stages_of_nothing_and_of_messy_rows(spark, sf, messy, empty, monkeypatch):
     plain = messy.select("doc_id", "text", "lang", "source", "n_chars", "t", "rate")
     field = crf.train(load(spark, sf, "documents"), load(spark, sf, "labels"))
     monkeypatch.setattr(crf, "train", lambda *a: field)
-    for rows in (plain, empty.select(plain.columns)):
-        for _, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, sf).persist()
-        rows.count()
+    outs = []
+    rows = plain
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, sf).persist()
+        outs.append(sorted((r.doc_id or 0) for r in rows.collect()))
+    rules, exact, near, mixed, packed = outs
+    assert not {4, 5, 6, 11} & set(rules)  # null, empty and blank texts have no content
+    texts = {r.doc_id or 0: r.text for r in plain.collect()}
+    assert sorted({texts[i] for i in exact}) == sorted({r.text for r in plain.collect() if (r.doc_id or 0) in rules})
+    assert set(near) <= set(exact) <= set(rules) and set(mixed) == set(near) == set(packed) and len(mixed) >= len(near)
+    rows = empty.select(plain.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, sf)
+        assert rows.count() == 0
 
 
 def test_every_operator_has_a_query():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bloom_dedup, boosted, chat, crf, jaccard, mixing, packing, ppm, suffix_dedup, wavelet
 from .common import load
@@ -37,7 +37,8 @@ def op5_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.ppm_score(load(spark, sf_dir, "documents"))
+    scored = ppm.ppm_score(load(spark, sf_dir, "documents"))
+    return scored.withColumns({"bits": F.round("bits", 3), "bits_per_byte": F.round("bits_per_byte", 6)})
 
 
 def op7_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,34 @@ ORACLES = {
                coalesce(string_agg(s::BIGINT || '-' || (s + length(body))::BIGINT, ',' ORDER BY k) FILTER (WHERE r = 'assistant'), '') AS spans,
                CAST(NULL AS VARCHAR) AS error
         FROM q GROUP BY conv_id""",
+    # Contexts and bytes are hex digits, two a byte. Level k has the contexts of k bytes; e is what an escape from it costs.
+    "op6_ppm_score": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, ascii(md5(coalesce(text, ''))) % 2 AS fold, '000000' || hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), rg AS (
+            SELECT r, fold, substring(h, 2 * i + 1, 8) AS g, count(*) AS n FROM (SELECT r, fold, h, unnest(range(0, (length(h) - 6) // 2)) AS i FROM d) GROUP BY ALL
+        ), n3 AS (
+            SELECT f, g, substring(g, 1, 6) AS c, substring(g, 3) AS g2, sum(CASE WHEN fold = f THEN n ELSE 0 END)::DOUBLE AS n FROM rg, (SELECT unnest([0, 1]) AS f) GROUP BY f, g
+        ), n2 AS (SELECT f, g2 AS g, substring(g2, 1, 4) AS c, substring(g2, 3) AS g1, sum(n) AS n FROM n3 GROUP BY f, g2),
+        n1 AS (SELECT f, g1 AS g, substring(g1, 1, 2) AS c, substring(g1, 3) AS g0, sum(n) AS n FROM n2 GROUP BY f, g1),
+        n0 AS (SELECT f, g0 AS g, sum(n) AS n FROM n1 GROUP BY f, g0),
+        t3 AS (SELECT a.f, a.c, sum(a.n) AS t, count(*) FILTER (WHERE a.n > 0) AS d, coalesce(sum(b.n) FILTER (WHERE a.n > 0), 0) AS x FROM n3 a JOIN n2 b ON b.f = a.f AND b.g = a.g2 GROUP BY a.f, a.c),
+        t2 AS (SELECT a.f, a.c, sum(a.n) AS t, count(*) FILTER (WHERE a.n > 0) AS d, coalesce(sum(b.n) FILTER (WHERE a.n > 0), 0) AS x FROM n2 a JOIN n1 b ON b.f = a.f AND b.g = a.g1 GROUP BY a.f, a.c),
+        t1 AS (SELECT a.f, a.c, sum(a.n) AS t, count(*) FILTER (WHERE a.n > 0) AS d, coalesce(sum(b.n) FILTER (WHERE a.n > 0), 0) AS x FROM n1 a JOIN n0 b ON b.f = a.f AND b.g = a.g0 GROUP BY a.f, a.c),
+        t0 AS (SELECT f, sum(n) AS t, count(*) FILTER (WHERE n > 0) AS d FROM n0 GROUP BY f),
+        lv AS (
+            SELECT a.f, a.g, a.n AS m3, b.n AS m2, c.n AS m1, e.n AS m0, t3.t AS s3, t3.d AS k3, t2.t - t3.x AS s2, t2.d - t3.d AS k2, t1.t - t2.x AS s1, t1.d - t2.d AS k1, t0.t - t1.x AS s0, t0.d - t1.d AS k0, t0.d AS all_
+            FROM n3 a JOIN n2 b ON b.f = a.f AND b.g = a.g2 JOIN n1 c ON c.f = a.f AND c.g = b.g1 JOIN n0 e ON e.f = a.f AND e.g = c.g0
+            JOIN t3 ON t3.f = a.f AND t3.c = a.c JOIN t2 ON t2.f = a.f AND t2.c = b.c JOIN t1 ON t1.f = a.f AND t1.c = c.c JOIN t0 ON t0.f = a.f
+        ), es AS (
+            SELECT *, CASE WHEN k3 > 0 THEN -log2(k3 / (s3 + k3)) ELSE 0 END AS e3, CASE WHEN k2 > 0 THEN -log2(k2 / (s2 + k2)) ELSE 0 END AS e2,
+                CASE WHEN k1 > 0 THEN -log2(k1 / (s1 + k1)) ELSE 0 END AS e1, CASE WHEN k0 > 0 THEN -log2(k0 / (s0 + k0)) ELSE 0 END AS e0 FROM lv
+        ), cost AS (
+            SELECT f, g, (CASE WHEN m3 > 0 THEN -log2(m3 / (s3 + k3)) WHEN m2 > 0 THEN e3 - log2(m2 / (s2 + k2)) WHEN m1 > 0 THEN e3 + e2 - log2(m1 / (s1 + k1))
+                WHEN m0 > 0 THEN e3 + e2 + e1 - log2(m0 / (s0 + k0)) ELSE e3 + e2 + e1 + e0 + log2(256 - all_) END)::FLOAT::DOUBLE AS cost FROM es
+        ), sm AS (SELECT r, sum(n * cost) AS bits FROM rg JOIN cost ON cost.g = rg.g AND cost.f = 1 - rg.fold GROUP BY r)
+        SELECT doc_id, (length(h) - 6) // 2 AS n_bytes, round(coalesce(bits, 0), 3) AS bits, CASE WHEN length(h) > 6 THEN round(bits / ((length(h) - 6) // 2), 6) END AS bits_per_byte
+        FROM d LEFT JOIN sm USING (r)""",
     "op7_bloom_dedup": """
         SELECT doc_id, text, lang, source, n_chars FROM (
             SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS k FROM documents

@@ -15,7 +15,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def content_text(value: Column, depth: int = 3) -> Column:
+def content_text(value: Column, depth: int = 12) -> Column:
     """Plain text of a VARIANT that is null, a string, a list of blocks, or anything else.
 
     Of a list, strings and the `content` or `text` of objects count, stripped and

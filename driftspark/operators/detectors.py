@@ -107,7 +107,7 @@ def fit_drift(train: DataFrame, cfg: FeatureConfig = FeatureConfig(), n_anchors:
     order = F.sha1(F.concat_ws("|", F.lit(str(seed)), "sample_index", "step_index"))
     anchored = {c: anchors(rows, F.flatten(c), n_anchors, order) for c in ("inc", "glob")} if cfg.use_anchors else None
     baseline = collected_baseline(rows) if cfg.self_baseline else None
-    detector = fit(featurize(train, cfg, n, anchored, baseline), kind, **params)
+    detector = fit(featurize(train, cfg, n, anchored, baseline), kind, seed=seed, **params)
     detector.config, detector.layers, detector.anchors, detector.baseline = cfg, n, anchored, baseline
     return detector
 

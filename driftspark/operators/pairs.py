@@ -33,10 +33,11 @@ def counterfactuals(samples: DataFrame, pool: DataFrame, attacks: int = 1, seed:
 
     Other rows stay as they are. Rows need messages, split_group, domain and
     item_id; the columns pair_id, pair_role, pair_attack_index, malicious_idx and
-    injection_text are added. The pool has payload, payload_rank and pool_size.
+    injection_text are added where they are missing, and keep their values in rows without an attack. The pool has payload, payload_rank and pool_size.
     """
     size = pool.agg(F.count(F.lit(1))).first()[0]
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("pair_id", "string"), ("pair_role", "string"), ("pair_attack_index", "int"), ("malicious_idx", "array<int>"), ("injection_text", "string"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pair_id", "string"), ("pair_role", "string"), ("pair_attack_index", "int"), ("malicious_idx", "array<int>"), ("injection_text", "string")) if c not in samples.columns]
+    had = lambda c: F.col(c) if c in samples.columns else F.lit(None)
     if not size or attacks <= 0:
         return samples.select("*", *none)
     tools = indices(F.col("messages"), lambda m: m["role"] == role)
@@ -63,8 +64,8 @@ def counterfactuals(samples: DataFrame, pool: DataFrame, attacks: int = 1, seed:
             "split_group": F.col("pair_id"),
             "pair_role": F.when(attacked, "attacked").otherwise("clean"),
             "pair_attack_index": F.when(attacked, F.col("_attack")),
-            "malicious_idx": F.when(attacked, F.array("_target")),
-            "injection_text": F.when(attacked, F.col("_payload")),
+            "malicious_idx": F.when(attacked, F.array("_target")).otherwise(had("malicious_idx")),
+            "injection_text": F.when(attacked, F.col("_payload")).otherwise(had("injection_text")),
         }
     )
     return plain.unionByName(out.select(*plain.columns))

@@ -19,7 +19,7 @@ def value(df, column):
     "raw,want",
     [
         ("null", ""), ('"plain"', "plain"), ('[{"type":"text","content":"block"}]', "block"), ('[{"type":"text","text":" block "}]', "block"),
-        ('[{"type":"image_url"},{"type":"tool_use"},{"type":"text","text":"only"}]', "only"), ('["a", {"content": ["b", {"text": "c"}]}]', "a b c"), ("[]", ""), ("12", "12"),
+        ('[{"type":"image_url"},{"type":"tool_use"},{"type":"text","text":"only"}]', "only"), ('["a", {"content": ["b", {"text": "c"}]}]', "a b c"), ("[]", ""), ("12", "12"), ('[{"content": ' * 8 + '["deep"]' + "}]" * 8, "deep"),
     ],
 )
 def test_contents_become_text(spark, raw, want):

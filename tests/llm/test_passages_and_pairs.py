@@ -42,6 +42,24 @@ def test_short_texts_are_sorted_in_memory():
     assert (order.tolist(), lcp.tolist()) == brute_array(t.tolist())
 
 
+def test_small_buckets_and_long_runs_are_taken_several_at_once(monkeypatch, tmp_path):
+    """Neither each key of a large alphabet nor each symbol of a run costs a step of its own."""
+    keys, steps = 5000, {"bucket": 0, "returning": 0}
+    for name in steps:
+
+        def counted(*args, name=name, run=getattr(suffix, name)):
+            steps[name] += 1
+            return run(*args)
+
+        monkeypatch.setattr(suffix, name, counted)
+    rng = np.random.default_rng(8)
+    t = np.concatenate([rng.integers(1, keys, 10_000), np.full(3000, 77), rng.integers(1, keys, 10_000), [0]]).astype(np.uint16)
+    sa, lcp = suffix.suffix_array(t, keys, str(tmp_path), 10_000)
+    order, want = suffix.direct(t)
+    assert (sa.read()[::-1] == order).all() and (lcp.read()[::-1] == want).all()
+    assert max(steps.values()) < keys, steps
+
+
 def brute_passages(rows, least):
     """Windows by dictionary; (doc_id, start, stop, first_doc, remove)."""
     at = {}

@@ -256,6 +256,27 @@ def brute_parts(pairs):
     return {x: find(x) for x in up}
 
 
+def classes(ids, pairs):
+    roots, links = brute_parts(pairs), {}
+    for p in pairs:
+        for x in p:
+            links[x] = links.get(x, 0) + 1
+    return sorted((i, roots.get(i, i), links.get(i, 0)) for i in ids)
+
+
+def test_classes_say_what_the_pairs_do_in_a_row_a_document(spark):
+    """Copies by the hundred, near copies, and ids with several texts, some of them shared."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words)) for k in range(100, 200)] + [(k, " ".join(words + [f"a{k}"])) for k in range(6)]
+    rows += [(k, f"another text {'of some words ' * 4} but the last") for k in (500, 501, 7)] + [(500, " ".join(words[:50])), (502, " ".join(words[:50])), (503, "alone here and now")]
+    rows += [(k, t) for k in (600, 601) for t in ("first of two texts", "second of two texts here")] + [(602, "second of two texts here"), (603, None), (None, "alone here and now")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = {r.doc_id for r in made.collect()} - {None}
+    got = jaccard.similar_classes(made)
+    assert got.columns == ["doc_id", "class_id", "n_links"]
+    assert sorted(tuple(r) for r in got.collect()) == classes(ids, brute_pairs(made.collect(), 0.5, 3))
+
+
 @pytest.mark.parametrize("chunk,broadcast", [(1 << 24, 2_000_000), (1500, 0), (6000, 2_000_000)])
 def test_links_connect_what_the_pairs_do(spark, sf, messy, chunk, broadcast):
     """Also where one key gathers a large group, a small one and single texts, over many chunks."""
